@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiweave.llm import cooccurrence, term_frequency
+from lexiweave.llm import cooccurrence, near_duplicates, term_frequency
 from lexiweave.llm.words import LETTERS
 from lexiweave.operators import packed_values
 from lexiweave.store import read
@@ -76,6 +76,14 @@ def p3_pair_scores(spark: SparkSession, folder: str) -> DataFrame:
     return _pair_table(spark, folder).scores()
 
 
+def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates.near_duplicate_groups(read(spark, folder, "tinacsv_docs"))
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates.group_pairs(p1_groups(spark, folder))
+
+
 _DOC_TERMS = """unnest(list_distinct(regexp_extract_all(lower({f}), '[a-zß-öø-ÿ]{{3,}}')))"""
 _TERM_SQL = " UNION ALL ".join(
     [f"SELECT '{f}' AS field_name, term, count(*) AS n, (SELECT count(*) FROM tinacsv_docs WHERE regexp_matches({f}, '[^\\s\\pZ]')) AS r FROM (SELECT {_DOC_TERMS.format(f=f)} AS term FROM tinacsv_docs) GROUP BY term" for f in ("title", "abstract")]
@@ -86,6 +94,8 @@ ORACLE = {
 }
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_groups": p1_groups,
     "p3_found": p3_found,
     "p3_pair_scores": p3_pair_scores,
     "p6_found": p6_found,
