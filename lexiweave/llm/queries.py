@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiweave.llm import cooccurrence, near_duplicates, term_frequency
+from lexiweave.llm import cooccurrence, leakage, near_duplicates, term_frequency
 from lexiweave.llm.words import LETTERS
 from lexiweave.operators import packed_values
 from lexiweave.store import read
@@ -84,12 +84,29 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates.group_pairs(p1_groups(spark, folder))
 
 
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return leakage.leaks(read(spark, folder, "documents"), read(spark, folder, "eval_items"), verbatim=True).select("doc_id", "item_id").distinct()
+
+
+def p9_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    """Every leak, with re-parameterised items and the number of windows."""
+    found = leakage.leaks(read(spark, folder, "documents"), read(spark, folder, "eval_items"))
+    return found.groupBy("doc_id", "item_id").agg(F.max("verbatim").alias("verbatim"), F.count("*").alias("n_windows"))
+
+
 _DOC_TERMS = """unnest(list_distinct(regexp_extract_all(lower({f}), '[a-zß-öø-ÿ]{{3,}}')))"""
 _TERM_SQL = " UNION ALL ".join(
     [f"SELECT '{f}' AS field_name, term, count(*) AS n, (SELECT count(*) FROM tinacsv_docs WHERE regexp_matches({f}, '[^\\s\\pZ]')) AS r FROM (SELECT {_DOC_TERMS.format(f=f)} AS term FROM tinacsv_docs) GROUP BY term" for f in ("title", "abstract")]
     + ["SELECT 'total_occs' AS field_name, CAST(total_occs AS VARCHAR) AS term, count(*) AS n, (SELECT count(total_occs) FROM whitelist_terms) AS r FROM whitelist_terms WHERE total_occs IS NOT NULL GROUP BY total_occs"]
 )
+def _windows(table: str, key: str) -> str:
+    """Distinct rows of key and 12 words that follow one another."""
+    return f"""SELECT DISTINCT {key}, array_to_string(w[i:i + 11], ' ') AS win FROM (SELECT {key}, w, unnest(generate_series(1, len(w) - 11)) AS i
+        FROM (SELECT {key}, regexp_extract_all(strip_accents(lower(text)), '[a-z0-9]+') AS w FROM {table}) WHERE len(w) > 11)"""
+
+
 ORACLE = {
+    "p9_found": f"SELECT DISTINCT doc_id, item_id FROM ({_windows('documents', 'doc_id')}) AS d JOIN ({_windows('eval_items', 'item_id')}) AS e USING (win)",
     "p6_found": f"SELECT field_name, term, CASE WHEN n < 3 THEN 'rare' ELSE 'common' END AS mark FROM ({_TERM_SQL}) WHERE n < 3 OR n > 0.2 * r",
 }
 
@@ -99,5 +116,7 @@ QUERIES = {
     "p3_found": p3_found,
     "p3_pair_scores": p3_pair_scores,
     "p6_found": p6_found,
+    "p9_found": p9_found,
+    "p9_leaks": p9_leaks,
     "p6_term_counts": p6_term_counts,
 }
