@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiweave.llm import cooccurrence, leakage, near_duplicates, term_frequency
+from lexiweave.llm import cooccurrence, garbled, leakage, near_duplicates, term_frequency
 from lexiweave.llm.words import LETTERS
 from lexiweave.operators import packed_values
 from lexiweave.store import read
@@ -84,6 +84,14 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates.group_pairs(p1_groups(spark, folder))
 
 
+def p7_restored(spark: SparkSession, folder: str) -> DataFrame:
+    return garbled.find_garbled(read(spark, folder, "tinacsv_docs"), "rec_id", ["title", "abstract"])
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p7_restored(spark, folder).select("rec_id", "field_name")
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.leaks(read(spark, folder, "documents"), read(spark, folder, "eval_items"), verbatim=True).select("doc_id", "item_id").distinct()
 
@@ -116,6 +124,8 @@ QUERIES = {
     "p3_found": p3_found,
     "p3_pair_scores": p3_pair_scores,
     "p6_found": p6_found,
+    "p7_found": p7_found,
+    "p7_restored": p7_restored,
     "p9_found": p9_found,
     "p9_leaks": p9_leaks,
     "p6_term_counts": p6_term_counts,
