@@ -9,10 +9,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiweave.llm import cooccurrence, garbled, leakage, near_duplicates, term_frequency
+from lexiweave.llm import cooccurrence, garbled, leakage, near_duplicates, packing, term_frequency
 from lexiweave.llm.words import LETTERS
 from lexiweave.operators import packed_values
-from lexiweave.store import read
+from lexiweave.store import materialise, read
 
 
 def _term_counts(spark: SparkSession, folder: str) -> DataFrame:
@@ -92,6 +92,18 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return p7_restored(spark, folder).select("rec_id", "field_name")
 
 
+def _packed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    return packing.pack(materialise(packing.token_counts(read(spark, folder, "documents"))))
+
+
+def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
+    return _packed(spark, folder)[0]
+
+
+def p8_certificates(spark: SparkSession, folder: str) -> DataFrame:
+    return _packed(spark, folder)[1]
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.leaks(read(spark, folder, "documents"), read(spark, folder, "eval_items"), verbatim=True).select("doc_id", "item_id").distinct()
 
@@ -126,6 +138,8 @@ QUERIES = {
     "p6_found": p6_found,
     "p7_found": p7_found,
     "p7_restored": p7_restored,
+    "p8_containers": p8_containers,
+    "p8_certificates": p8_certificates,
     "p9_found": p9_found,
     "p9_leaks": p9_leaks,
     "p6_term_counts": p6_term_counts,
