@@ -15,6 +15,7 @@ are ignored.
 
 from __future__ import annotations
 
+import codecs
 import heapq
 import html
 import re
@@ -334,3 +335,90 @@ def find_garbled(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
 
     got = asked.withColumn("r", F.pandas_udf(run, "garbled boolean, restored string")("text"))
     return got.where("r.garbled").select(key, "field_name", "text", F.col("r.restored").alias("restored"))
+
+
+def _decoded(origin: list[tuple[int, bytes]], right: str, errors: str) -> tuple[str, list[int]]:
+    """Characters of ``right`` from bytes with the place that each byte came from."""
+    decoder = codecs.getincrementaldecoder(right)(errors)
+    out, places, since = [], [], None
+    for at, data in origin:
+        for k in range(len(data)):
+            since = at if since is None else since
+            if got := decoder.decode(data[k : k + 1]):
+                out.append(got)
+                places += [since] * len(got)
+                since = None
+    return "".join(out), places
+
+
+def _aligned(name: str, text: str) -> list[int]:
+    """The place in ``text`` of each character of the operation's result, and the end."""
+    new = _BY_NAME[name](text)
+    if len(new) == len(text):
+        return list(range(len(text) + 1))
+    places: list[int] = []
+    if name == "utf8<cp1252 twice":
+        first = _aligned("utf8<cp1252", text)
+        return [first[p] for p in _aligned("utf8<cp1252", _repair_utf8("cp1252", text))]
+    if name == "unescape":
+        return _by_length(text, new)
+    right, wrong = name.split("<")
+    if wrong in _UTF8 and right == "utf8":
+        at = 0
+        for m in _UTF8[wrong][0].finditer(text):
+            one = _repair_utf8(wrong, m[0])
+            places += range(at, m.start())
+            places += [m.start()] * len(one) if one != m[0] else range(m.start(), m.end())
+            at = m.end()
+        places += range(at, len(text))
+    elif wrong == "latin":
+        at = 0
+        for m in _LATIN_RUN.finditer(text):
+            one = _wide_from_latin(right, m[0])
+            places += range(at, m.start())
+            if one != m[0]:
+                places += [m.start() + p for p in _decoded([(k, bytes([_CP1252[c]])) for k, c in enumerate(m[0])], right, "strict")[1]]
+            else:
+                places += range(m.start(), m.end())
+            at = m.end()
+        places += range(at, len(text))
+    else:
+        places = _decoded([(k, c.encode(wrong)) for k, c in enumerate(text) if c != "�"], "utf-8", "replace")[1]
+    return [*places, len(text)] if len(places) == len(new) else _by_length(text, new)
+
+
+def _by_length(text: str, new: str) -> list[int]:
+    return [k * len(text) // max(1, len(new)) for k in range(len(new))] + [len(text)]
+
+
+def _repair_aligned(text: str) -> tuple[str, list[int] | None]:
+    reduced = len(text) > 200 and 5 * sum(map(len, _RUN.findall(text))) < len(text) and not _escaped(text)
+    best, new, old, path = search(_reduced(text) if reduced else text)
+    if old - new < GAIN:
+        return text, None
+    places = list(range(len(text) + 1))
+    for name in path:
+        places = [places[p] for p in _aligned(name, text)]
+        text = _BY_NAME[name](text)
+    return text, places
+
+
+def restore_aligned(text: str) -> tuple[str, list[int] | None]:
+    """The text as ``restore`` gives it, and the place in ``text`` of each of its characters and of its end.
+
+    The places are None where nothing was restored.
+    """
+    if not _doubtful(text):
+        return text, None
+    best, places = _repair_aligned(text)
+    options = [(best, places)]
+    if places is None or _costs(best)[0] > 0:
+        out, at, places = [], 0, []
+        for p in _PASSAGE.findall(text):
+            one, own = _repair_aligned(p) if _doubtful(p) else (p, None)
+            out.append(one)
+            places += [at + k for k in (own[:-1] if own else range(len(p)))]
+            at += len(p)
+        options.append(("".join(out), [*places, len(text)]))
+    best, places = min(options, key=lambda o: cost(o[0]))
+    return (text, None) if best == text else (best, places)

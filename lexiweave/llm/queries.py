@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiweave.llm import cooccurrence, garbled, leakage, near_duplicates, packing, term_frequency
+from lexiweave.llm import cooccurrence, garbled, leakage, near_duplicates, packing, sentences, term_frequency
 from lexiweave.llm.words import LETTERS
 from lexiweave.operators import packed_values
 from lexiweave.store import materialise, read
@@ -84,6 +84,10 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates.group_pairs(p1_groups(spark, folder))
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return sentences.sentence_units(read(spark, folder, "tinacsv_docs"), "rec_id", "abstract")
+
+
 def p7_restored(spark: SparkSession, folder: str) -> DataFrame:
     return garbled.find_garbled(read(spark, folder, "tinacsv_docs"), "rec_id", ["title", "abstract"])
 
@@ -135,6 +139,7 @@ QUERIES = {
     "p1_groups": p1_groups,
     "p3_found": p3_found,
     "p3_pair_scores": p3_pair_scores,
+    "p4_found": p4_found,
     "p6_found": p6_found,
     "p7_found": p7_found,
     "p7_restored": p7_restored,
