@@ -302,7 +302,19 @@ def _escaped(text: str) -> bool:
     return ("&" in text or "\\u" in text or "%" in text or "=" in text) and bool(_ESCAPE.search(text))
 
 
+# Texts in which no doubt is possible, told faster than by their runs.
+_LATIN = re.compile("[\x00-\x7fßàáä-ïñ-öù-üœ‘’”–—…É]*")
+_TRIPLE = re.compile("[À-ÿ]{3}|[a-zß-ÿ]É")
+_COMMON_HAN = "".join(chr(c) for c in range(0x4E00, 0xA000) if _common(chr(c)))
+_OTHER = re.compile(f"[\x00-\x7f‘’“”–—…؀-ٟ٪-ۯۺ-ۿऀ-ॿ฀-๿、-〟ぁ-ゖゝ-ヿ！-～{_COMMON_HAN}]*")
+_TOUCHES = re.compile("[A-Za-z][^\x00-\x7f]|[^\x00-\x7f][A-Za-z]")
+
+
 def _doubtful(text: str) -> bool:
+    if text.isascii():
+        return _escaped(text)
+    if _LATIN.fullmatch(text) and not _TRIPLE.search(text) or _OTHER.fullmatch(text) and not _TOUCHES.search(text):
+        return _escaped(text)
     return _costs(text)[0] > 0 or _escaped(text)
 
 
