@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiweave.llm import cooccurrence, garbled, leakage, near_duplicates, packing, sentences, term_frequency
+from lexiweave.llm import cooccurrence, garbled, leakage, near_duplicates, packing, sentences, subjects, term_frequency
 from lexiweave.llm.words import LETTERS
 from lexiweave.operators import packed_values
 from lexiweave.store import materialise, read
@@ -118,6 +118,19 @@ def p9_leaks(spark: SparkSession, folder: str) -> DataFrame:
     return found.groupBy("doc_id", "item_id").agg(F.max("verbatim").alias("verbatim"), F.count("*").alias("n_windows"))
 
 
+def p10_subjects(spark: SparkSession, folder: str) -> DataFrame:
+    return subjects.assign_subjects(read(spark, folder, "documents"), read(spark, folder, "subject_labels"))
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p10_subjects(spark, folder).select("doc_id", "subject")
+
+
+def p10_composition(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents by subject."""
+    return p10_subjects(spark, folder).groupBy("subject").agg(F.count("*").alias("n_docs"), F.count_if("is_main").alias("n_main"))
+
+
 _DOC_TERMS = """unnest(list_distinct(regexp_extract_all(lower({f}), '[a-zß-öø-ÿ]{{3,}}')))"""
 _TERM_SQL = " UNION ALL ".join(
     [f"SELECT '{f}' AS field_name, term, count(*) AS n, (SELECT count(*) FROM tinacsv_docs WHERE regexp_matches({f}, '[^\\s\\pZ]')) AS r FROM (SELECT {_DOC_TERMS.format(f=f)} AS term FROM tinacsv_docs) GROUP BY term" for f in ("title", "abstract")]
@@ -146,6 +159,9 @@ QUERIES = {
     "p8_containers": p8_containers,
     "p8_certificates": p8_certificates,
     "p9_found": p9_found,
+    "p10_found": p10_found,
+    "p10_subjects": p10_subjects,
+    "p10_composition": p10_composition,
     "p9_leaks": p9_leaks,
     "p6_term_counts": p6_term_counts,
 }
