@@ -63,14 +63,15 @@ def medline_archive(spark: SparkSession, root: str, periods: list[str], period_s
     return medline(spark, [f"{root}/{p}/{p}.txt" for p in periods], period_size)
 
 
-def whitelist(df: DataFrame) -> DataFrame:
+def whitelist(df: DataFrame, order: str | None = None) -> DataFrame:
     """form_id, form, lemma_id, label of the accepted rows (status, label, ngram forms); the last row of a form wins.
 
+    The order of rows is that of the file, or of the column ``order``.
+
     A label is a form only if it stands among the forms. Accepts the column ``ngram forms`` or ``ngram_forms``.
     """
     forms = "ngram forms" if "ngram forms" in df.columns else "ngram_forms"
-    order = F.monotonically_increasing_id()
-    rows = df.withColumn("row_no", order).where(F.trim("status") == "w").select("row_no", tx.strip(F.col("label")).alias("label"), F.explode(F.split(F.col(f"`{forms}`"), r"\*\*\*")).alias("form"))
+    rows = df.withColumn("row_no", F.col(order) if order else F.monotonically_increasing_id()).where(F.trim("status") == "w").select("row_no", tx.strip(F.col("label")).alias("label"), F.explode(F.split(F.col(f"`{forms}`"), r"\*\*\*")).alias("form"))
     rows = rows.select("row_no", "label", tx.strip(F.col("form")).alias("form")).where("form <> ''")
     ids = rows.select(tx.ngram_id(F.col("form")).alias("form_id"), F.lower("form").alias("form"), tx.ngram_id(F.col("label")).alias("lemma_id"), "label", "row_no")
     return ids.groupBy("form_id").agg(*(F.max_by(c, "row_no").alias(c) for c in ("form", "lemma_id", "label")))
