@@ -7,8 +7,8 @@ import re
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-_VOWEL = "[aeiou]"
 _V, _C = "(?:[aeiou]|(?<=[^aeiou])y)", "(?:[^aeiouy]|^y|(?<=[aeiou])y)"
 _HAS_VOWEL = re.compile(_V)
 _MEASURE = re.compile(f"{_V}+{_C}+")
@@ -66,7 +66,7 @@ def porter(word: str) -> str:
     return w[:-1] if w.endswith("ll") and _m(w) > 1 else w
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def stem(words: pd.Series) -> pd.Series:
     return words.map(lambda w: None if w is None else porter(w))
 

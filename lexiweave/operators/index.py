@@ -24,10 +24,17 @@ def doc_tokens(documents: DataFrame, content: str = "content") -> DataFrame:
     return documents.select("corpus_id", "doc_id", F.posexplode(tx.tokens(F.col(content))).alias("p", "token")).select("corpus_id", "doc_id", (F.col("p") + 1).alias("pos"), "token")
 
 
+def term_rows(documents: DataFrame, least: int = 1, most: int = 1, content: str = "content") -> DataFrame:
+    """corpus_id, doc_id, term: each n-gram of a document where it stands."""
+    # Tokens are a column of their own, else each slice would split the text again.
+    toks = documents.select("corpus_id", "doc_id", tx.tokens(F.col(content)).alias("t"))
+    terms = F.col("t") if most == 1 else tx.word_ngrams(F.col("t"), least, most)
+    return toks.select("corpus_id", "doc_id", F.explode(terms).alias("term"))
+
+
 def doc_terms(documents: DataFrame, least: int = 1, most: int = 1, content: str = "content") -> DataFrame:
     """corpus_id, doc_id, term, occs: n-grams of a document with their number."""
-    terms = documents.select("corpus_id", "doc_id", F.explode(tx.word_ngrams(tx.tokens(F.col(content)), least, most)).alias("term"))
-    return terms.groupBy("corpus_id", "doc_id", "term").agg(F.count("*").alias("occs"))
+    return term_rows(documents, least, most, content).groupBy("corpus_id", "doc_id", "term").agg(F.count("*").alias("occs"))
 
 
 def sentence_ngrams(documents: DataFrame, cfg: Extraction = Extraction()) -> DataFrame:
