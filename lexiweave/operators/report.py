@@ -64,8 +64,8 @@ def whitelist_file_rows(report: DataFrame) -> DataFrame:
     return report.select(*(F.col(c).alias(n) for c, n in zip(names, WHITELIST_COLUMNS)))
 
 
-def csv_line(df: DataFrame) -> DataFrame:
-    """``value``: strings quoted with inner double quotes made single ones, floats with two decimals, the rest plain."""
+def csv_value(df: DataFrame) -> Column:
+    """A CSV line: strings quoted with inner double quotes made single ones, floats with two decimals, the rest plain."""
     cells = []
     for name, kind in df.dtypes:
         c = F.col(f"`{name}`")
@@ -75,17 +75,24 @@ def csv_line(df: DataFrame) -> DataFrame:
             cells.append(F.coalesce(F.format_string("%.2f", c.cast("double")), F.lit("")))
         else:
             cells.append(F.coalesce(c.cast("string"), F.lit("")))
-    return df.select(F.concat_ws(",", *cells).alias("value"))
+    return F.concat_ws(",", *cells)
+
+
+def csv_line(df: DataFrame) -> DataFrame:
+    return df.select(csv_value(df).alias("value"))
 
 
 def write_csv(df: DataFrame, path: str, header: bool = True, order: list[str] | None = None) -> None:
-    """One CSV file set; sorted by ``order`` with the header first, if asked for."""
-    lines = csv_line(df.orderBy(*order) if order else df)
+    """CSV text: one sorted file with a header, as people read it, or many files without."""
+    if not header and not order:
+        csv_line(df).write.mode("overwrite").text(path)
+        return
+    keys = F.struct(*(F.col(f"`{c}`") for c in order)) if order else F.struct(F.lit(0))
+    lines = df.select(F.lit(1).alias("part"), keys.alias("at"), csv_value(df).alias("value"))
     if header:
         head = ",".join(f'"{c}"' for c in df.columns)
-        first = df.sparkSession.createDataFrame([(head,)], "value string")
-        lines = first.unionByName(lines).coalesce(1)
-    lines.write.mode("overwrite").text(path)
+        lines = lines.unionByName(df.sparkSession.range(1).select(F.lit(0).alias("part"), F.lit(head).alias("value")), allowMissingColumns=True)
+    lines.repartition(1).sortWithinPartitions("part", "at").select("value").write.mode("overwrite").text(path)
 
 
 def cooccurrence_rows(cooc: DataFrame, min_cooc: int, periods: list[str] | str | None = None) -> DataFrame:
