@@ -155,6 +155,8 @@ def _costs(text: str) -> tuple[float, float]:
         d, b = _run_cost(m[0], text[max(0, i - 2) : i], text[j : j + 2])
         doubts += d
         base += b
+    if _escaped(text):
+        doubts += 3.0 * len(_ESCAPE.findall(text))
     return doubts, base
 
 
