@@ -12,11 +12,19 @@ from pyspark.sql import functions as F
 from lexiweave.llm import cooccurrence, garbled, leakage, near_duplicates, packing, sentences, subjects, term_frequency
 from lexiweave.llm.words import LETTERS
 from lexiweave.operators import packed_values
-from lexiweave.store import materialise, read
+from lexiweave.store import materialise, read, spread
+
+
+def _docs(spark: SparkSession, folder: str) -> DataFrame:
+    return spread(read(spark, folder, "tinacsv_docs").select("rec_id", "title", "abstract"))
+
+
+def _documents(spark: SparkSession, folder: str) -> DataFrame:
+    return spread(read(spark, folder, "documents").select("doc_id", "text"))
 
 
 def _term_counts(spark: SparkSession, folder: str) -> DataFrame:
-    docs, terms = read(spark, folder, "tinacsv_docs"), read(spark, folder, "whitelist_terms")
+    docs, terms = _docs(spark, folder), read(spark, folder, "whitelist_terms")
     counts = term_frequency.text_term_counts(docs, "title").unionByName(term_frequency.text_term_counts(docs, "abstract")).unionByName(term_frequency.value_counts(terms, "total_occs"))
     records = term_frequency.record_counts(docs, ["title", "abstract"]).unionByName(term_frequency.record_counts(terms, ["total_occs"]))
     return term_frequency.mark(counts, records)
@@ -77,7 +85,7 @@ def p3_pair_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
-    return near_duplicates.near_duplicate_groups(read(spark, folder, "tinacsv_docs"))
+    return near_duplicates.near_duplicate_groups(_docs(spark, folder))
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -85,11 +93,11 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    return sentences.sentence_units(read(spark, folder, "tinacsv_docs"), "rec_id", "abstract")
+    return sentences.sentence_units(_docs(spark, folder), "rec_id", "abstract")
 
 
 def p7_restored(spark: SparkSession, folder: str) -> DataFrame:
-    return garbled.find_garbled(read(spark, folder, "tinacsv_docs"), "rec_id", ["title", "abstract"])
+    return garbled.find_garbled(_docs(spark, folder), "rec_id", ["title", "abstract"])
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -97,7 +105,7 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _packed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    return packing.pack(materialise(packing.token_counts(read(spark, folder, "documents"))))
+    return packing.pack(materialise(packing.token_counts(_documents(spark, folder))))
 
 
 def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
@@ -109,17 +117,17 @@ def p8_certificates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
-    return leakage.leaks(read(spark, folder, "documents"), read(spark, folder, "eval_items"), verbatim=True).select("doc_id", "item_id").distinct()
+    return leakage.leaks(_documents(spark, folder), read(spark, folder, "eval_items"), verbatim=True).select("doc_id", "item_id").distinct()
 
 
 def p9_leaks(spark: SparkSession, folder: str) -> DataFrame:
     """Every leak, with re-parameterised items and the number of windows."""
-    found = leakage.leaks(read(spark, folder, "documents"), read(spark, folder, "eval_items"))
+    found = leakage.leaks(_documents(spark, folder), read(spark, folder, "eval_items"))
     return found.groupBy("doc_id", "item_id").agg(F.max("verbatim").alias("verbatim"), F.count("*").alias("n_windows"))
 
 
 def p10_subjects(spark: SparkSession, folder: str) -> DataFrame:
-    return subjects.assign_subjects(read(spark, folder, "documents"), read(spark, folder, "subject_labels"))
+    return subjects.assign_subjects(_documents(spark, folder), read(spark, folder, "subject_labels"))
 
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
