@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 
 COLUMNS = ["corp_id", "doc_id", "title", "acronym", "abstract", "doc_index_1", "doc_index_2", "doc_date", "doc_keywords"]
 #: Records that are parsed together.
-BLOCK = 256
+BLOCK = 32
 LETTERS = 20
 
 _FIELD = r'(?:[^",]*|"(?:[^"]|"")*")'
@@ -87,8 +87,11 @@ def parse_block(lines: pa.Array, corpora: pa.Array) -> pa.Table | None:
     if table.num_rows != len(lines):
         return None
     fine = pc.and_(pc.is_in(table["corp_id"], corpora), pc.match_substring_regex(table["doc_id"], r"^(?:[1-9][0-9]{0,9}|0)$"))
-    letters = pc.count_substring_regex(table["abstract"], r"\pL")
-    fine = pc.and_(fine, pc.and_(pc.greater_equal(letters, LETTERS), pc.invert(pc.match_substring_regex(table["abstract"], r"[\x00\x{FFFD}]"))))
+    fine = pc.and_(fine, pc.invert(pc.match_substring_regex(table["abstract"], r"[\x00\x{FFFD}]")))
+    # Letters of the Latin alphabet are counted at once; where they don't suffice, those of any script.
+    few = pc.less(pc.count_substring_regex(table["abstract"], "[A-Za-z]"), LETTERS)
+    if any(sum(map(str.isalpha, t)) < LETTERS for t in table["abstract"].filter(few).to_pylist()):
+        return None
     return table if pc.all(fine).as_py() else None
 
 
