@@ -13,7 +13,8 @@ probability (1 - s^6)^64: 3e-4 at 0.7, 4e-6 at 0.75, 3e-9 at 0.8 (plus 1e-5 for
 
 Copies are folded by a 64-bit hash of the normalised text before pairing. A bucket of up to 65 texts gives all its
 pairs. In a larger one each text meets the 64 next to it; then every text outside the bucket's largest component meets
-the whole bucket, which covers all pairs that could still join two components.
+the whole bucket, which covers all pairs that could still join two components. Links are counted on demand: a group that
+has a text in such a bucket is cut into blocks, and all pairs of its texts are compared, two blocks at a time.
 
 Edge cases: records whose abstract is null or blank take no part; a null title is empty; texts of fewer than five
 characters are alike only if equal; repeated rows and ties keep every record, the group is known by the smallest
@@ -42,6 +43,8 @@ NEAR = 64
 SKETCH_BITS = 40
 #: Ids of texts to verify are broadcast up to this many (16 MB), and joined by shuffle beyond.
 BROADCAST_IDS = 1_000_000
+#: Different texts, and characters of them, in a block of a large group, about.
+BLOCK_TEXTS, BLOCK_CHARS = 1000, 4_000_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _U = np.uint64
@@ -232,8 +235,69 @@ def _links(pairs: DataFrame, marks: DataFrame, texts: DataFrame, threshold: floa
     return done
 
 
-def near_duplicate_groups(records: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """rec_id, group_id (smallest rec_id of the group), n_links for each record (rec_id, title, abstract).
+def _common_runs(x: list[np.ndarray], y: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """The number of runs in both, for each of the sets ``x`` and each of ``y``."""
+    both = np.zeros((len(x), len(y)), np.int64)
+    runs, n = np.unique(np.concatenate([*x, *y]), return_counts=True)
+    runs = runs[n > 1]
+
+    def places(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        row, h = np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.concatenate(sets)
+        at = np.searchsorted(runs, h)
+        known = at < len(runs)
+        known[known] = runs[at[known]] == h[known]
+        row, at = row[known], at[known]
+        order = np.argsort(at, kind="stable")
+        return row[order], at[order]
+
+    sides = [(len(s), *places(s)) for s in (x, y)]
+    for start in range(0, len(runs), width):
+        parts = []
+        for n_sets, row, at in sides:
+            lo, hi = np.searchsorted(at, [start, start + width])
+            part = np.zeros((n_sets, width), np.float32)
+            part[row[lo:hi], at[lo:hi] - start] = 1
+            parts.append(part)
+        both += (parts[0] @ parts[1].T).astype(np.int64)
+    return both
+
+
+def _block_links(threshold: float):
+    """Links of each text in two blocks of a group; rows have block, node and text."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        first, second = key[1].as_py(), key[2].as_py()
+        block, node = table["block"].to_numpy(), table["node"].to_numpy()
+        sets = [run_set(t.as_py()) for t in table["text"]]
+        left, right = np.nonzero(block == first)[0], np.nonzero(block == second)[0]
+        if not len(left) or not len(right):
+            return pa.table({"node": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
+        both = _common_runs([sets[i] for i in left], [sets[i] for i in right])
+        sizes = np.array([len(s) for s in sets])
+        alike = both / np.maximum(sizes[left][:, None] + sizes[right][None, :] - both, 1) >= threshold
+        if first == second:
+            np.fill_diagonal(alike, False)
+            return pa.table({"node": node[left], "n": alike.sum(1)})
+        return pa.table({"node": np.concatenate([node[left], node[right]]), "n": np.concatenate([alike.sum(1), alike.sum(0)])})
+
+    return run
+
+
+def _exact_degrees(members: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """node, n_links over all pairs of nodes (node, label) with the same label."""
+    own = materialise(texts.join(members, "node").groupBy("label", "node").agg(F.first("text").alias("text")))
+    sizes = own.groupBy("label").agg(F.ceil(F.greatest(F.count("*") / BLOCK_TEXTS, F.sum(F.length("text")) / BLOCK_CHARS)).alias("blocks"))
+    cut = own.join(sizes, "label").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    cells = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    cells = cells.select("label", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "text")
+    part = cells.groupBy("label", "i", "j").applyInArrow(_block_links(threshold), "node long, n long")
+    done = materialise(part.groupBy("node").agg(F.sum("n").alias("n_links")))
+    release(own)
+    return done
+
+
+def near_duplicate_groups(records: DataFrame, threshold: float = THRESHOLD, count_links: bool = True) -> DataFrame:
+    """rec_id, group_id (smallest rec_id of the group) and, if asked for, n_links for each record (rec_id, title, abstract).
 
     ``n_links`` counts the different texts that the record's text is alike to; its copies are not among them.
     """
@@ -244,6 +308,7 @@ def near_duplicate_groups(records: DataFrame, threshold: float = THRESHOLD) -> D
     links = _links(found.where("not hot").select("a", "b"), marks, texts, threshold)
     labels = materialise(components(links))
     large = found.where("hot").select(F.col("a").alias("node"), F.col("b").alias("key"))
+    exact = None
     if large.limit(1).count():
         part = large.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         most = part.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("most"))
@@ -252,11 +317,20 @@ def near_duplicate_groups(records: DataFrame, threshold: float = THRESHOLD) -> D
         more = _links(across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), marks, texts, threshold)
         links = materialise(links.unionByName(more).dropDuplicates(["a", "b"]))
         labels = materialise(components(links))
+        if count_links:
+            # Not all pairs within the components of a large bucket were made.
+            crowded = large.select("node").distinct().join(labels, "node").select("label").distinct()
+            exact = _exact_degrees(labels.join(crowded, "label", "left_semi").select("node", "label"), texts, threshold)
     release(found)
+    own = marks.select("rec_id", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    group = own.groupBy("label").agg(F.min("rec_id").alias("group_id"))
+    own = own.join(group, "label")
+    if not count_links:
+        return own.select("rec_id", "group_id")
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    own = marks.select("rec_id", "node").join(labels.join(degree, "node"), "node", "left").select("rec_id", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    least = own.groupBy("label").agg(F.min("rec_id").alias("group_id"))
-    return own.join(least, "label").select("rec_id", "group_id", "n_links")
+    if exact is not None:
+        degree = degree.join(exact.select("node"), "node", "left_anti").unionByName(exact)
+    return own.join(degree, "node", "left").select("rec_id", "group_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def group_pairs(groups: DataFrame) -> DataFrame:

@@ -89,7 +89,7 @@ def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    return near_duplicates.group_pairs(p1_groups(spark, folder))
+    return near_duplicates.group_pairs(near_duplicates.near_duplicate_groups(_docs(spark, folder), count_links=False))
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -77,6 +77,24 @@ def test_large_buckets_lose_no_link(spark):
     assert {got[i] for i in range(150)} == {0} and got[1000] == 1000
 
 
+def test_links_of_large_groups_are_all_counted(spark, monkeypatch):
+    rng = random.Random(7)
+    base = [f"word{i:03d}" for i in range(100)]
+    rows = []
+    for i in range(240):
+        ws = list(base)
+        for k in rng.sample(range(100), rng.randint(1, 12)):
+            ws[k] = f"x{rng.randrange(10**6)}"
+        rows.append((i, None, " ".join(ws), "x"))
+    rows += [(1000, None, rows[0][2], "x"), (1001, None, "something else altogether, and long enough", "x")]
+    texts = {i: " " + t for i, _, t, _ in rows}
+    want = {i: sum(texts[j] != texts[i] and nd.similarity(texts[i], texts[j]) >= nd.THRESHOLD for j in texts if j != 1000) for i in texts}
+    assert max(want.values()) > 130 and len({want[i] for i in range(240)}) > 1
+    for size in (1000, 50):
+        monkeypatch.setattr(nd, "BLOCK_TEXTS", size, raising=False)
+        assert {r.rec_id: r.n_links for r in nd.near_duplicate_groups(spark.createDataFrame(rows, SCHEMA)).collect()} == want
+
+
 def test_pairs_over_batches_equal_one_batch():
     import pyarrow as pa
 
