@@ -109,6 +109,21 @@ def test_learnt_abbreviations(model):
     assert not {("en", w) for w in ("rose", "etc", "u.s")} & model.never
 
 
+def test_rare_followers_count(spark, monkeypatch):
+    # Dates: "Mai" twice after 200 numbers, never after 20,000 sure ends.
+    numbers = ["lumor 3. Mai"] * 2 + [f"lumor 3. Kab{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(198)]
+    df = spark.createDataFrame([(t,) for t in numbers + [" ".join(["Velpan lumor."] * 21)] * 1000], "text string")
+    assert ("la", "Mai") in st.learn(df).dates
+    # No starter: "Nikta" 22 times after 5,000 sure ends, but twice after 1,000 abbreviations.
+    sure = ["Rovik lumor. Nikta lumor"] * 22 + ["Rovik lumor. Velpan lumor"] * 4978
+    df = spark.createDataFrame([(t,) for t in sure + ["Rovik dr. Nikta"] * 2 + ["Rovik dr. Velpan"] * 998], "text string")
+    learnt = st.learn(df)
+    assert ("la", "dr") in learnt.never | learnt.weak and ("la", "Nikta") not in learnt.starters
+    monkeypatch.setattr(st, "MOST_WORDS", 0)
+    with pytest.raises(ValueError, match="learnt"):
+        st.learn(df)
+
+
 @pytest.mark.parametrize(
     "want",
     [
