@@ -2,19 +2,80 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from lexiweave.config import SourceFields
 from lexiweave.functions import text as tx
 
 
+# One cell and the comma or end after it; a quote that opens a cell must close.
+_CELL = re.compile(r'"((?:[^"]|"")*+)"(?!")([^,]*)(?:,|\Z)|([^",][^,]*|)(?:,|\Z)', re.S)
+
+
+def csv_cells(record: str) -> list[str] | None:
+    """The cells of a record, or None where a quote never closes."""
+    out, at = [], 0
+    while m := _CELL.match(record, at):
+        out.append(m[1].replace('""', '"') + m[2] if m[1] is not None else m[3])
+        if not m[0].endswith(","):
+            return out
+        at = m.end()
+    return None
+
+
+def _split(records: pd.Series, first: pd.Series) -> pd.Series:
+    return records.map(lambda r: None if r is None else csv_cells(r))
+
+
+def _cells(record: str, first: str) -> Column:
+    """Spark reads no plan that needs only the column of uneven records, so the first cell goes along with those."""
+    uneven = F.when(F.col(record).isNotNull(), F.col(f"`{first}`"))
+    return F.pandas_udf(_split, "array<string>")(record, uneven)
+
+
+def _uneven_csv(spark: SparkSession, path: str, encoding: str) -> tuple[DataFrame, str, list[str]]:
+    """All records of a file, the column that keeps the text of those with cells too few or too many, the header."""
+    options = {"header": True, "multiLine": True, "quote": '"', "escape": '"', "encoding": encoding}
+    header = spark.read.csv(path, **options).columns
+    kept = "_record"
+    while kept in header:
+        kept = f"_{kept}"
+    schema = StructType([StructField(c, StringType()) for c in [*header, kept]])
+    return spark.read.schema(schema).csv(path, **options, mode="PERMISSIVE", columnNameOfCorruptRecord=kept), kept, header
+
+
 def read_csv(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """A CSV file with header, all strings; records may hold line breaks, missing cells are empty, bad records drop out."""
-    df = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', encoding=encoding, mode="DROPMALFORMED")
-    return df.select(*(F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in df.columns))
+    """A CSV file with header, all strings; records may hold line breaks.
+
+    Missing cells are empty, surplus cells are left aside (see ``csv_uneven``). Records whose quotes never close are
+    no rows; ``csv_uneven`` has them with their reason.
+    """
+    df, kept, header = _uneven_csv(spark, path, encoding)
+    if not header:
+        return df.select()
+    whole = F.col(kept).isNull() | _cells(kept, header[0]).isNotNull()
+    return df.where(whole).select(*(F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in header))
+
+
+def csv_uneven(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
+    """record, reason and surplus (cells) of each record that hasn't as many cells as the header.
+
+    The reason is ``quoting`` for those that ``read_csv`` rejects, ``missing_cells`` or ``surplus_cells`` for those
+    that it keeps.
+    """
+    df, kept, header = _uneven_csv(spark, path, encoding)
+    if not header:
+        return spark.createDataFrame([], "record string, reason string, surplus array<string>")
+    rows = df.where(F.col(kept).isNotNull()).select(F.col(kept).alias("record"), _cells(kept, header[0]).alias("cells"))
+    reason = F.when(F.col("cells").isNull(), "quoting").when(F.size("cells") < len(header), "missing_cells").otherwise("surplus_cells")
+    surplus = F.when(F.size("cells") > len(header), F.slice("cells", len(header) + 1, F.greatest(F.size("cells"), F.lit(1))))
+    return rows.select("record", reason.alias("reason"), surplus.alias("surplus"))
 
 
 def project_documents(df: DataFrame, fields: SourceFields = SourceFields()) -> DataFrame:

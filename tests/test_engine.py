@@ -57,6 +57,20 @@ def test_reader(spark, made):
     assert wl["team"] == "TEAM X" and "networks" not in wl and "maps" not in wl and len(wl) == 7
 
 
+def test_uneven_rows_are_kept(spark, tmp_path):
+    head = "corp_id,doc_id,title,acronym,abstract,x"
+    (tmp_path / "u.csv").write_text(f'{head}\nFET,1,t,A,"one, text",y\nFET,2,t,B,two\nFET,3,t,C,"three ""x""\nmore",y,over,"a, b"\nFET,4\nFET,5,t,D,"never closed,y\nFET,6,t,E,six,y\n')
+    rows = {r.doc_id: r.content for r in readers.open_source(spark, f"recordcsv://{tmp_path}/u.csv").collect()}
+    assert rows == {"1": "one, text", "2": "two", "3": 'three "x"\nmore', "4": ""}
+    table = readers.open_source(spark, f"basecsv://{tmp_path}/u.csv")
+    assert table.columns == head.split(",") and table.count() == 4
+    assert {(r.doc_id, r.x) for r in table.select("doc_id", "x").collect()} == {("1", "y"), ("2", ""), ("3", "y"), ("4", "")}
+    aside = readers.csv_uneven(spark, f"{tmp_path}/u.csv").collect()
+    assert sorted((r.record.split(",")[1], r.reason, r.surplus) for r in aside) == [("2", "missing_cells", None), ("3", "surplus_cells", ["over", "a, b"]), ("4", "missing_cells", None), ("5", "quoting", None)]
+    (tmp_path / "w.csv").write_text("status,label,pos tag,total occs,ngram forms,y\nw,team,x,1,team *** Team\nw,map,x,1,map,z,surplus\n")
+    assert {r.form for r in readers.whitelist_csv(spark, f"{tmp_path}/w.csv").collect()} == {"team", "map"}
+
+
 def test_golden_graph(spark, made):
     engine, root = made
     nodes, edges = engine.generate_graph("demo", out=f"{root}/g", document_graph=GraphConfig(proximity="shared_ngrams", max_degree=100))
