@@ -6,8 +6,9 @@ into counts kept in hash buckets; only touched buckets are written again. Associ
 for pairs whose counts, or whose items' counts, changed.
 
 The pairs of a basket are made by two nested explodes, so even a very long basket is never held as a list of pairs.
-No count is capped. Each merge writes a new version and then its manifest, so a job that dies leaves the old
-version whole.
+No count is capped. Each merge writes a new version and then its manifest (the version of each bucket, and of the
+totals), so a job that dies leaves the old version whole. A table opened on a folder goes on from its last manifest;
+one writer at a time is expected.
 
 Edge cases: null baskets and items hold nothing but still count as a record; repeated items count once; a pair
 whose count falls to zero leaves the table; an empty change leaves the table as it is.
@@ -15,6 +16,7 @@ whose count falls to zero leaves the table; an empty change leaves the table as
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,13 +38,41 @@ def basket_pairs(baskets: DataFrame) -> DataFrame:
 
 
 class PairTable:
-    """Persistent counts of pairs and items, by version."""
+    """Persistent counts of pairs and items, by version. A folder that holds a table keeps its number of buckets."""
 
     def __init__(self, spark: SparkSession, folder: str | None = None, buckets: int = BUCKETS):
         self.spark, self.buckets = spark, buckets
         self.folder = folder or f"{shared_dir(spark)}/lexiweave/pairs-{uuid.uuid4().hex}"
         self.parts: dict[str, dict[int, str]] = {"pairs": {}, "items": {}}
         self.totals_at: str | None = None
+        self.merges = 0
+        self._open()
+
+    def _path(self, name: str):
+        """A path below ``manifests``, and its file system."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/manifests/{name}")
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _open(self) -> None:
+        """Take over what the last manifest of the folder says, if there is one."""
+        path, fs = self._path("")
+        names = [f.getPath().getName() for f in fs.listStatus(path)] if fs.exists(path) else []
+        if done := [int(n.removesuffix(".json")) for n in names if n.removesuffix(".json").isdigit()]:
+            self.merges = max(done)
+            told = json.loads(self.spark.read.text(f"{self.folder}/manifests/{self.merges:012d}.json", wholetext=True).first()[0])
+            self.buckets, self.totals_at = told["buckets"], f"{self.folder}/totals/{told['totals']}"
+            self.parts = {name: {int(b): version for b, version in own.items()} for name, own in told["parts"].items()}
+
+    def _commit(self, parts: dict[str, dict[int, str]], totals: str) -> None:
+        """Write the next manifest under another name and rename it, so that it is there whole or not at all."""
+        (draft, fs), (path, _) = self._path(f"draft-{uuid.uuid4().hex}"), self._path(f"{self.merges + 1:012d}.json")
+        out = fs.create(draft, False)
+        out.write(json.dumps({"buckets": self.buckets, "totals": totals, "parts": parts}).encode())
+        out.close()
+        if fs.exists(path) or not fs.rename(draft, path):
+            raise RuntimeError(f"another writer has changed {self.folder}; open it again")
+        self.merges += 1
+        self.parts, self.totals_at = parts, f"{self.folder}/totals/{totals}"
 
     def _load(self, name: str, schema: str) -> DataFrame:
         by_version: dict[str, list[int]] = {}
@@ -66,8 +96,11 @@ class PairTable:
     def totals(self) -> DataFrame:
         return self.spark.read.schema(_TOTALS).parquet(self.totals_at) if self.totals_at else self.spark.createDataFrame([], _TOTALS)
 
-    def _merge(self, name: str, schema: str, keys: list[str], deltas: DataFrame, version: str) -> None:
-        """Sum the deltas into the buckets they touch. The first load reads and compares nothing."""
+    def _merge(self, name: str, schema: str, keys: list[str], deltas: DataFrame, version: str) -> dict[int, str]:
+        """Sum the deltas into the buckets they touch; the versions of all buckets after that.
+
+        The first load reads and compares nothing.
+        """
         bucket = F.pmod(F.xxhash64(*keys), F.lit(self.buckets)).cast("int").alias("bucket")
         deltas = deltas.select(bucket, *keys, "sign").groupBy("bucket", *keys).agg(F.sum("sign").alias("n"))
         if self.parts[name]:
@@ -78,7 +111,7 @@ class PairTable:
             touched = set(range(self.buckets))
         if touched:
             deltas.where("n > 0").repartition("bucket").sortWithinPartitions("bucket").write.option("compression", "zstd").partitionBy("bucket").parquet(f"{self.folder}/{name}/{version}")
-            self.parts[name] |= dict.fromkeys(touched, version)
+        return self.parts[name] | dict.fromkeys(touched, version)
 
     def apply(self, new: DataFrame, old: DataFrame | None = None, records: DataFrame | None = None) -> None:
         """Merge a change: baskets (field_name, items) that came and, in ``old``, the ones they replace.
@@ -91,12 +124,11 @@ class PairTable:
         if old is not None:
             change = change.unionByName(old.select("field_name", "items", F.lit(-1).alias("sign")))
         items = change.select("field_name", "sign", F.explode(F.array_distinct(F.array_compact("items"))).alias("item"))
-        self._merge("items", _ITEMS, ["field_name", "item"], items, version)
-        self._merge("pairs", _PAIRS, ["field_name", "item_a", "item_b"], basket_pairs(change), version)
+        parts = {"items": self._merge("items", _ITEMS, ["field_name", "item"], items, version)}
+        parts["pairs"] = self._merge("pairs", _PAIRS, ["field_name", "item_a", "item_b"], basket_pairs(change), version)
         got = records if records is not None else change.groupBy("field_name").agg(F.sum("sign").alias("n"))
-        at = f"{self.folder}/totals/{version}"
-        self.totals.unionByName(got.select("field_name", F.col("n").cast("long").alias("n"))).groupBy("field_name").agg(F.sum("n").alias("n")).coalesce(1).write.parquet(at)
-        self.totals_at = at
+        self.totals.unionByName(got.select("field_name", F.col("n").cast("long").alias("n"))).groupBy("field_name").agg(F.sum("n").alias("n")).coalesce(1).write.parquet(f"{self.folder}/totals/{version}")
+        self._commit(parts, version)
 
     def scores(self, touched: DataFrame | None = None, least: int = 1, per: int | None = None) -> DataFrame:
         """Each pair with n_ab, n_a, n_b, n_records and lift (times more often than chance).

@@ -76,6 +76,27 @@ def test_increments_equal_recount(spark):
     assert table.scores().count() == 0
 
 
+def test_reopened_table_goes_on(spark, tmp_path):
+    rng = random.Random(6)
+    pick = lambda: rng.sample("abcdefgh", rng.randint(1, 5))
+    first, more, last = ([pick() for _ in range(n)] for n in (40, 10, 5))
+    co.PairTable(spark, str(tmp_path), buckets=4).apply(frame(spark, first))
+    table = co.PairTable(spark, str(tmp_path))
+    check(table, first)
+    table.apply(frame(spark, more), frame(spark, first[:10]))
+    check(co.PairTable(spark, str(tmp_path)), first[10:] + more)
+    # A merge that dies before its manifest leaves the last version whole.
+    table._commit = lambda *_: (_ for _ in ()).throw(OSError("died"))
+    try:
+        table.apply(frame(spark, last))
+    except OSError:
+        pass
+    check(table, first[10:] + more)
+    again = co.PairTable(spark, str(tmp_path))
+    again.apply(frame(spark, last))
+    check(co.PairTable(spark, str(tmp_path)), first[10:] + more + last)
+
+
 def test_long_basket_and_thresholds(spark):
     table = co.PairTable(spark, buckets=2)
     table.apply(frame(spark, [[f"i{k:04d}" for k in range(400)]] + [["a", "b"]] * 4 + [["c"]] * 40))
