@@ -191,3 +191,38 @@ def test_edges_and_search(spark):
 
 def test_defaults():
     assert DOCUMENT_GRAPH.max_degree == 100 and Extraction().ngram_max == 4
+
+
+def test_queries_on_all_ngram_lengths(spark, tmp_path):
+    import re
+
+    from lexiweave.functions import tagging
+    from lexiweave.plans.core_queries import QUERIES
+
+    texts = [("s1", 1, "Deep Neural nets of Paris work. Deep neural nets"), ("s1", 2, "deep neural Nets of paris, and more"), ("s2", 3, "Deep neural nets of Paris"), ("s2", 4, "the")]
+    spark.createDataFrame(texts, "source string, doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    grams = []
+    for c, d, t in texts:
+        ws = re.sub(r'[,.;:!?"\[\]{}()<>]', " ", t).split()
+        grams += [(c, str(d), " ".join(ws[i : i + n])) for n in range(1, 5) for i in range(len(ws) - n + 1)]
+    run = lambda name: QUERIES[f"{name}_1_4"](spark, str(tmp_path)).collect()
+    terms = {f.lower() for *_, f in grams}
+    tags = lambda t: [next((k for p, k in tagging.WORD_PATTERNS if re.search(p, w)), "?") for w in t.split()]
+    assert {r.term: r.ngram_id for r in run("ngram_ids")} == {t: nid(t) for t in terms}
+    assert {(r.doc_id, r.term): r.occs for r in run("doc_ngram_occs")} == {k: [(d, f.lower()) for _, d, f in grams].count(k) for k in {(d, f.lower()) for _, d, f in grams}}
+    assert {r.term for r in run("min_word_size")} == {t for t in terms if min(map(len, t.split())) >= 4}
+    both = tagging.CONTENT_RULES["both"]
+    assert {r.term for r in run("content_rules")} == {t for t in terms if t.split()[0] not in both and t.split()[-1] not in both}
+    assert {r.term for r in run("postag_valid")} == {t for t in terms if re.search(tagging.POSTAG_VALID, ",".join(tags(t)) + ",")}
+    any_, both, begin = (tagging.TAG_RULES[k] for k in ("any", "both", "begin"))
+    assert {r.term for r in run("postag_filter")} == {t for t in terms if not set(tags(t)) & set(any_) and tags(t)[0] not in (*both, *begin) and tags(t)[-1] not in both}
+    forms = {t: {f for *_, f in grams if f.lower() == t} for t in terms}
+    assert {r.ngram_id: (r.label, r.n_forms) for r in run("major_form")} == {t: (max(f), len(f)) for t, f in forms.items()}
+    docs = {t: {(c, d) for c, d, f in grams if f.lower() == t} for t in terms}
+    got = {r.ngram_id: r for r in run("whitelist_report")}
+    assert set(got) == {t for t in terms if len(docs[t]) >= 3} and "deep neural nets of" in got
+    for t, r in got.items():
+        n = len(t.split())
+        df = {c: sum(x == c for x, _ in docs[t]) for c in ("s1", "s2")}
+        assert (r.label, r.total, r.length, r.total_n, r.max_occs, r.max_occs_n) == (max(forms[t]), len(docs[t]), n, len(docs[t]) ** n, max(df.values()) / 2, max(df.values()) ** n / 2)
+        assert r.postag == ",".join(tags(r.label)) and r.forms == " *** ".join(sorted(forms[t])) and r.documents == " *** ".join(sorted(d for _, d in docs[t]))
