@@ -118,23 +118,25 @@ def _find(index: Items, ids: list[int], texts: list[list[bytes]], verbatim: bool
     inside = at + index.window <= ends[doc]
     out, told = [], set()
     for p, d in zip(at[inside].tolist(), doc[inside].tolist()):
+        got: dict[int, bool] = {}
         for item, q in index.at[int(h[p])]:
-            # One verbatim window settles a document and item.
-            if (d, item) in told:
+            # Where only the pairs count, one verbatim window settles a document and item.
+            if verbatim and (d, item) in told:
                 continue
             same = flat[p : p + index.window] == index.words[item][q : q + index.window] if verbatim else index.matches(flat, p, item, q, anchors)
             if same:
                 told.add((d, item))
             if same or (same is False and not verbatim):
-                out.append((ids[d], item, p - int(ends[d] - sizes[d]), bool(same)))
+                got[item] = got.get(item, False) or bool(same)
+        out += [(ids[d], item, p - int(ends[d] - sizes[d]), v) for item, v in got.items()]
     return out
 
 
 def leaks(documents: DataFrame, items: DataFrame, window: int = WINDOW, verbatim: bool = False, anchors: int = ANCHORS) -> DataFrame:
     """doc_id, item_id, start, verbatim: windows of documents that repeat a window of an item.
 
-    Verbatim windows come once for each document and item, re-parameterised ones as often as they stand.
-    ``verbatim`` keeps only the former. The items are a fixed list, sent to each task; more than ``MOST_ITEMS`` raise.
+    Each window of a document comes once for each item, as verbatim if it repeats any window of the item so. With
+    ``verbatim`` only the first verbatim window of each document and item comes. The items are a fixed list, sent to each task; more than ``MOST_ITEMS`` raise.
     """
     rows = [(r[0], r[1]) for r in items.select("item_id", "text").where("text is not null").limit(MOST_ITEMS + 1).collect()]
     if len(rows) > MOST_ITEMS:

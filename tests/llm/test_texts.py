@@ -186,6 +186,15 @@ def test_leaks_equal_brute_force(spark):
     assert want and {(r.doc_id, r.item_id) for r in got.select("doc_id", "item_id").distinct().collect()} == want
 
 
+def test_all_windows_count(spark):
+    ws = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60)]
+    item = spark.createDataFrame([(7, " ".join(ws)), (8, " ".join(["same"] * 30))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "filler " + " ".join(ws)), (2, " ".join(ws[5:17])), (3, " ".join(["same"] * 20))], "doc_id long, text string")
+    windows = lk.leaks(docs, item).where("verbatim").groupBy("doc_id", "item_id").count().collect()
+    assert {(r.doc_id, r.item_id): r["count"] for r in windows} == {(1, 7): 49, (2, 7): 1, (3, 8): 9}
+    assert lk.leaks(docs, item, verbatim=True).count() == 3
+
+
 def test_reparameterised_items(spark):
     base = "suppose {a} lends {n} price files to {b} before the wage begins and {a} keeps all the files here"
     items = [(i, base.format(a=f"name{i}", b=f"town{i}", n=i + 20)) for i in range(4)]
