@@ -190,23 +190,35 @@ def test_all_windows_count(spark):
     ws = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60)]
     item = spark.createDataFrame([(7, " ".join(ws)), (8, " ".join(["same"] * 30))], "item_id long, text string")
     docs = spark.createDataFrame([(1, "filler " + " ".join(ws)), (2, " ".join(ws[5:17])), (3, " ".join(["same"] * 20))], "doc_id long, text string")
-    windows = lk.leaks(docs, item).where("verbatim").groupBy("doc_id", "item_id").count().collect()
-    assert {(r.doc_id, r.item_id): r["count"] for r in windows} == {(1, 7): 49, (2, 7): 1, (3, 8): 9}
+    for size in (lk.BROADCAST_BYTES, 0):
+        got = lk.leaks(docs, item, broadcast_bytes=size).collect()
+        assert {(r.doc_id, r.item_id): (r.n_windows, r.n_verbatim) for r in got} == {(1, 7): (49, 49), (2, 7): (1, 1), (3, 8): (9, 9)}
     assert lk.leaks(docs, item, verbatim=True).count() == 3
 
 
-def test_reparameterised_items(spark):
+@pytest.mark.parametrize("unique", [False, True])
+def test_reparameterised_items(spark, unique):
     base = "suppose {a} lends {n} price files to {b} before the wage begins and {a} keeps all the files here"
-    items = [(i, base.format(a=f"name{i}", b=f"town{i}", n=i + 20)) for i in range(4)]
-    docs = [(1, base.format(a="other", b="place", n=7)), (2, base.replace("and {a} keeps", "and {b} keeps").format(a="other", b="place", n=7)), (3, items[2][1])]
+    # Items of one template, and an item of its own whose names stand with capitals.
+    items = [(0, base.format(a="Mirolan", b="Tessin", n=4))] if unique else [(i, base.format(a=f"name{i}", b=f"town{i}", n=i + 20)) for i in range(4)]
+    docs = [(1, base.format(a="other", b="place", n=7)), (2, base.replace("and {a} keeps", "and {b} keeps").format(a="other", b="place", n=7)), (3, items[-1][1]), (4, base.format(a="x", b="y", n=7)[:50] + " and other things that no item has at all, one after the other")]
     got = lk.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
-    rows = {(r.doc_id, r.item_id): r.v for r in got.groupBy("doc_id", "item_id").agg(F.max("verbatim").alias("v")).collect()}
-    assert all(rows[1, i] is False for i in range(4)) and rows[3, 2] is True
-    # A slot that changes its value within a window doesn't agree.
-    full = lk.Items([(i, t) for i, t in items])
-    w = lk.words(docs[1][1])
-    assert full.matches(w, 2, 0, 2, 5) in (None, False)
-    assert lk.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")).count() == 0
+    rows = {(r.doc_id, r.item_id): r for r in got.collect()}
+    n = len(lk.words(docs[0][1])) - 11
+    assert all(rows[1, i].n_windows == n and rows[1, i].n_verbatim == 0 for i, _ in items) and rows[3, items[-1][0]].n_verbatim == n
+    # A slot that changes its value within a window doesn't agree; the windows before it do.
+    assert all(0 < rows[2, i].n_windows < n for i, _ in items) and not any((4, i) in rows for i, _ in items)
+    none = spark.createDataFrame([], "item_id long, text string")
+    assert lk.leaks(spark.createDataFrame(docs, "doc_id long, text string"), none).count() == 0
+
+
+def test_lists_share_no_key():
+    import numpy as np
+
+    items = [(i, [f"{chr(97 + i % 26)}{chr(97 + i // 26)}{k}q" for k in range(40)]) for i in range(300)] + [(900 + i, [b"%d" % (i * 100 + k) for k in range(40)]) for i in range(50)]
+    readings = [lk.Reading(np.zeros(0, np.uint64))]
+    got = lk._windows([i for i, _ in items], [[w if isinstance(w, bytes) else w.encode() for w in ws] for _, ws in items], readings, lk.ANCHORS, None)
+    assert len(set(got["key"])) == len(got["key"]) == 350 * 29
 
 
 # Packing.
