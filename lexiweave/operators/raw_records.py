@@ -1,9 +1,10 @@
 """Rows that fail to parse: bulk columnar parsing with recursive bisection of failing blocks.
 
-A block of records is joined and parsed at once by the Arrow CSV reader, and its columns are checked at once. If
-anything in the block fails, the block is halved until single records are left; each of these is diagnosed by a
-strict scanner that names the first fault. The bulk path accepts a block only if every record passes vectorised
-forms of the same tests, so both paths agree.
+One vectorised look at a block of some megabytes picks the records that have nine well-formed fields. These are
+joined and parsed by one call of the Arrow CSV reader; where it doesn't find a row for each record, the block is halved
+until the record that it stumbles on is alone. The columns are checked at once. All records that failed at any of these
+steps are diagnosed by a strict scanner that names the first fault, or finds them valid after all. The bulk path accepts a
+record only if it passes vectorised forms of the same tests, so both paths agree.
 
 Reasons, in this order: ``quoting``, ``column_count``, ``corp_id``, ``doc_id``, ``abstract``.
 
@@ -17,21 +18,23 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.csv as pcsv
 from pyspark.sql import DataFrame
 
 COLUMNS = ["corp_id", "doc_id", "title", "acronym", "abstract", "doc_index_1", "doc_index_2", "doc_date", "doc_keywords"]
-#: Records that are parsed together.
-BLOCK = 32
+#: Records that are parsed together have about so many bytes.
+BLOCK_BYTES = 16 << 20
 LETTERS = 20
 
 _FIELD = r'(?:[^",]*|"(?:[^"]|"")*")'
 _STRICT = re.compile(rf"{_FIELD}(?:,{_FIELD})*", re.S)
 _CUT = re.compile(r'"((?:[^"]|"")*)"(?:,|$)|([^",]*)(?:,|$)', re.S)
 _DOC_ID = re.compile(r"[1-9][0-9]{0,9}|0")
-_QUOTED_RE2 = rf"(?s)^{_FIELD}(?:,{_FIELD})*$"
+_NINE_RE2 = rf"(?s)\A(?:{_FIELD},){{8}}{_FIELD}\z"
+_LATIN_LETTERS = rf"(?:[A-Za-z][^A-Za-z]*){{{LETTERS}}}"
 
 
 def split_record(line: str) -> list[str] | None:
@@ -66,48 +69,89 @@ def diagnose(line: str | None, corpora: frozenset[str]) -> tuple[str | None, lis
     return None, fields
 
 
-def parse_block(lines: pa.Array, corpora: pa.Array) -> pa.Table | None:
-    """All records of a block as columns, or None if any of them fails."""
-    if lines.null_count or not pc.all(pc.match_substring_regex(lines, _QUOTED_RE2)).as_py():
-        return None
-    # Each record now closes its quotes, so it gives one row or, by bare line breaks, more; only an empty record or
-    # a bare break at its very end could hide that from the count of rows.
-    if pc.min(pc.binary_length(lines)).as_py() == 0 or pc.any(pc.match_substring_regex(lines, r"[\r\n]\z")).as_py():
-        return None
-    text = pc.binary_join(pa.array([lines.to_pylist()], pa.list_(pa.string())), "\n")[0].as_py().encode("utf-8", "surrogatepass")
+def _blocks(lines: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of records that hold about ``BLOCK_BYTES`` together, one record at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(lines), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    first = 0
+    while first < len(ends):
+        before = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, before + BLOCK_BYTES, "right")))
+        yield first, last
+        first = last
+
+
+def _pick(lines: pa.Array, mask: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """Places of true values of a mask, and the records there."""
+    at = pa.array(np.nonzero(mask.fill_null(False).to_numpy(zero_copy_only=False))[0])
+    return at, lines.take(at)
+
+
+def _parsed(lines: pa.Array) -> pa.Table | None:
+    """The columns of records by one call of the Arrow CSV reader, or None if it doesn't find one row for each."""
+    # A list of all records, joined by line breaks without a detour by Python strings.
+    text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(lines)], pa.int32()), lines), "\n")[0].as_buffer()
     try:
         table = pcsv.read_csv(
-            pa.py_buffer(text),
-            pcsv.ReadOptions(column_names=COLUMNS, block_size=max(1 << 20, len(text) + 1), use_threads=False),
+            pa.BufferReader(text),
+            pcsv.ReadOptions(column_names=COLUMNS, block_size=max(1 << 20, text.size + 1), use_threads=False),
             pcsv.ParseOptions(newlines_in_values=True, ignore_empty_lines=False),
             pcsv.ConvertOptions(column_types=dict.fromkeys(COLUMNS, pa.string()), strings_can_be_null=False, quoted_strings_can_be_null=False),
         )
     except (pa.ArrowInvalid, pa.ArrowKeyError):
         return None
-    if table.num_rows != len(lines):
-        return None
+    return table if table.num_rows == len(lines) else None
+
+
+def parse_block(lines: pa.Array) -> Iterator[tuple[int, pa.Table | None]]:
+    """(number of records, their columns) in order; None for single records that the reader doesn't take.
+
+    A block that fails is halved until it parses or one record is left.
+    """
+    table = _parsed(lines) if len(lines) else None
+    if table is not None or len(lines) < 2:
+        yield len(lines), table
+        return
+    half = len(lines) // 2
+    yield from parse_block(lines[:half])
+    yield from parse_block(lines[half:])
+
+
+def _fine(table: pa.Table, corpora: pa.Array) -> np.ndarray:
+    """Whether each parsed record has valid values."""
     fine = pc.and_(pc.is_in(table["corp_id"], corpora), pc.match_substring_regex(table["doc_id"], r"^(?:[1-9][0-9]{0,9}|0)$"))
     fine = pc.and_(fine, pc.invert(pc.match_substring_regex(table["abstract"], r"[\x00\x{FFFD}]")))
-    # Letters of the Latin alphabet are counted at once; where they don't suffice, those of any script.
-    few = pc.less(pc.count_substring_regex(table["abstract"], "[A-Za-z]"), LETTERS)
-    if any(sum(map(str.isalpha, t)) < LETTERS for t in table["abstract"].filter(few).to_pylist()):
-        return None
-    return table if pc.all(fine).as_py() else None
+    fine = fine.to_numpy(zero_copy_only=False) if isinstance(fine, pa.Array) else fine.combine_chunks().to_numpy(zero_copy_only=False)
+    # Letters of the Latin alphabet are looked for at once; where they don't suffice, those of any script are counted.
+    few = np.nonzero(fine & ~pc.match_substring_regex(table["abstract"], _LATIN_LETTERS).to_numpy(zero_copy_only=False))[0]
+    out = fine.copy()
+    out[few] = [sum(map(str.isalpha, t)) >= LETTERS for t in table["abstract"].take(pa.array(few)).to_pylist()]
+    return out
 
 
 def _parse_lines(ids: pa.Array, lines: pa.Array, known: frozenset[str], corpora: pa.Array) -> Iterator[tuple[pa.Array, pa.Array | None, pa.Table | None]]:
     """Pieces of a block: (ids, None, columns) of records that are valid, or (ids, reasons, None) of ones that aren't."""
-    if len(lines) == 1:
-        reason, fields = diagnose(lines[0].as_py(), known)
-        yield (ids, pa.array([reason], pa.string()), None) if reason else (ids, None, pa.table([[f] for f in fields], names=COLUMNS))
-        return
-    table = parse_block(lines, corpora)
-    if table is not None:
-        yield ids, None, table
-        return
-    half = len(lines) // 2
-    yield from _parse_lines(ids[:half], lines[:half], known, corpora)
-    yield from _parse_lines(ids[half:], lines[half:], known, corpora)
+    # One look at the whole block: nine fields, each bare or quoted from end to end. A bare line break at the end of a
+    # record would give the reader a row too many only after the next one, so such records go alone as well.
+    shaped = pc.and_(pc.match_substring_regex(lines, _NINE_RE2), pc.invert(pc.match_substring_regex(lines, r"[\r\n]\z")))
+    at, good = _pick(lines, shaped)
+    rest = np.ones(len(lines), bool)
+    start = 0
+    for n, table in parse_block(good):
+        if table is not None:
+            fine = _fine(table, corpora)
+            own = at[start : start + n].filter(pa.array(fine))
+            rest[own.to_numpy()] = False
+            if len(own):
+                yield ids.take(own), None, table if fine.all() else table.filter(pa.array(fine))
+        start += n
+    left = np.nonzero(rest)[0]
+    told = [diagnose(line, known) for line in lines.take(pa.array(left)).to_pylist()]
+    bad = [k for k, (reason, _) in enumerate(told) if reason]
+    if bad:
+        yield ids.take(pa.array(left[bad])), pa.array([told[k][0] for k in bad], pa.string()), None
+    odd = [k for k, (reason, _) in enumerate(told) if not reason]
+    if odd:
+        yield ids.take(pa.array(left[odd])), None, pa.table([pa.array(c, pa.string()) for c in zip(*(told[k][1] for k in odd))], names=COLUMNS)
 
 
 def load_records(raw: DataFrame, corpora: DataFrame, id_col: str = "raw_id", line_col: str = "line") -> DataFrame:
@@ -125,8 +169,8 @@ def load_records(raw: DataFrame, corpora: DataFrame, id_col: str = "raw_id", lin
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, lines = b.column(0), b.column(1).cast(pa.string())
-            for at in range(0, len(ids), BLOCK):
-                for i, reasons, table in _parse_lines(ids[at : at + BLOCK], lines[at : at + BLOCK], known, array):
+            for first, last in _blocks(lines):
+                for i, reasons, table in _parse_lines(ids[first:last], lines[first:last], known, array):
                     if table is None:
                         cols = [i, reasons, *[pa.nulls(len(i), pa.string())] * len(COLUMNS)]
                     else:

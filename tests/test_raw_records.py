@@ -56,6 +56,18 @@ def test_cases(spark):
             assert [r[c] for c in rr.COLUMNS] == rr.diagnose(text, known)[1]
 
 
+def test_failing_blocks_are_halved():
+    import pyarrow as pa
+
+    # A bare line break gives the reader a row too many; only that record is left out.
+    lines = [line()] * 50 + [line().replace(",a,", ",a\nb,")] + [line()] * 49
+    got = list(rr.parse_block(pa.array(lines)))
+    assert sum(n for n, _ in got) == 100 and [n for n, t in got if t is None] == [1]
+    known = frozenset(["c1"])
+    pieces = list(rr._parse_lines(pa.array(range(100)), pa.array(lines), known, pa.array(["c1"])))
+    assert all(r is None for _, r, _ in pieces) and sorted(i for ids, _, _ in pieces for i in ids.to_pylist()) == list(range(100))
+
+
 def test_empty_tables(spark):
     raw = spark.createDataFrame([], "raw_id long, line string")
     corpora = spark.createDataFrame([], "corp_id string")
