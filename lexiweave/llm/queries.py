@@ -65,13 +65,22 @@ def focus_baskets(docs: DataFrame, focus: DataFrame) -> DataFrame:
 
 
 def _pair_table(spark: SparkSession, folder: str) -> cooccurrence.PairTable:
+    """The table of all records, merged in two deliveries: the first half of the ids, then the rest.
+
+    The table is opened from its folder again before the second merge and after it.
+    """
     docs = read(spark, folder, "tinacsv_docs")
+    half = docs.agg(F.floor((F.min("rec_id") + F.max("rec_id")) / 2)).first()[0] or 0
+    late = lambda c: (F.coalesce(F.col(c), F.lit(0)) > half).alias("late")
     values = packed_values.split_values(docs, {"doc_keywords": ("rec_id", "doc_keywords")})
-    keywords = values.groupBy("row_id").agg(F.collect_set(F.lower("item")).alias("items")).select(F.lit("doc_keywords").alias("field_name"), "items")
-    focus = focus_baskets(docs, read(spark, folder, "focus_terms")).select(F.lit("abstract").alias("field_name"), "items")
-    records = docs.groupBy().agg(F.count("*").alias("n")).select(F.explode(F.array(F.lit("doc_keywords"), F.lit("abstract"))).alias("field_name"), "n")
+    keywords = values.groupBy("row_id").agg(F.collect_set(F.lower("item")).alias("items")).select(F.lit("doc_keywords").alias("field_name"), "items", late("row_id"))
+    focus = focus_baskets(spread(docs.select("rec_id", "abstract")), read(spark, folder, "focus_terms")).select(F.lit("abstract").alias("field_name"), "items", late("rec_id"))
+    baskets = materialise(keywords.unionByName(focus))
+    records = docs.groupBy(late("rec_id")).agg(F.count("*").alias("n")).select("late", F.explode(F.array(F.lit("doc_keywords"), F.lit("abstract"))).alias("field_name"), "n")
     table = cooccurrence.PairTable(spark)
-    table.apply(keywords.unionByName(focus), records=records)
+    for part in (~F.col("late"), F.col("late")):
+        table.apply(baskets.where(part), records=records.where(part).select("field_name", "n"))
+        table = cooccurrence.PairTable(spark, table.folder)
     return table
 
 
@@ -144,6 +153,13 @@ _TERM_SQL = " UNION ALL ".join(
     [f"SELECT '{f}' AS field_name, term, count(*) AS n, (SELECT count(*) FROM tinacsv_docs WHERE regexp_matches({f}, '[^\\s\\pZ]')) AS r FROM (SELECT {_DOC_TERMS.format(f=f)} AS term FROM tinacsv_docs) GROUP BY term" for f in ("title", "abstract")]
     + ["SELECT 'total_occs' AS field_name, CAST(total_occs AS VARCHAR) AS term, count(*) AS n, (SELECT count(total_occs) FROM whitelist_terms) AS r FROM whitelist_terms WHERE total_occs IS NOT NULL GROUP BY total_occs"]
 )
+_ALL_TERMS = """unnest(regexp_extract_all(lower({f}), '[a-zß-öø-ÿ]{{3,}}'))"""
+_COUNT_SQL = " UNION ALL ".join(
+    [f"SELECT '{f}' AS field_name, term, CAST(sum(k) AS BIGINT) AS n_occurrences, count(*) AS n_records, (SELECT count(*) FROM tinacsv_docs WHERE regexp_matches({f}, '[^\\s\\pZ]')) AS r FROM (SELECT rec_id, term, count(*) AS k FROM (SELECT rec_id, {_ALL_TERMS.format(f=f)} AS term FROM tinacsv_docs) GROUP BY ALL) GROUP BY term" for f in ("title", "abstract")]
+    + ["SELECT 'total_occs' AS field_name, CAST(total_occs AS VARCHAR) AS term, count(*) AS n_occurrences, count(*) AS n_records, (SELECT count(total_occs) FROM whitelist_terms) AS r FROM whitelist_terms WHERE total_occs IS NOT NULL GROUP BY total_occs"]
+)
+
+
 def _windows(table: str, key: str) -> str:
     """Distinct rows of key and 12 words that follow one another."""
     return f"""SELECT DISTINCT {key}, array_to_string(w[i:i + 11], ' ') AS win FROM (SELECT {key}, w, unnest(generate_series(1, len(w) - 11)) AS i
@@ -151,6 +167,7 @@ def _windows(table: str, key: str) -> str:
 
 
 ORACLE = {
+    "p6_term_counts": f"SELECT field_name, term, n_occurrences, n_records, CASE WHEN n_records < 3 THEN 'rare' WHEN n_records > 0.2 * r THEN 'common' END AS mark FROM ({_COUNT_SQL})",
     "p9_found": f"SELECT DISTINCT doc_id, item_id FROM ({_windows('documents', 'doc_id')}) AS d JOIN ({_windows('eval_items', 'item_id')}) AS e USING (win)",
     "p6_found": f"SELECT field_name, term, CASE WHEN n < 3 THEN 'rare' ELSE 'common' END AS mark FROM ({_TERM_SQL}) WHERE n < 3 OR n > 0.2 * r",
 }

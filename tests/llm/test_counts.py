@@ -60,7 +60,7 @@ def test_increments_equal_recount(spark):
     rng = random.Random(5)
     pick = lambda: rng.choice([None, [], [None, "a"], *([rng.sample("abcdefgh", rng.randint(1, 5))] * 6), ["a", "a", "b"]])
     all_ = [pick() for _ in range(60)]
-    table = co.PairTable(spark, buckets=4)
+    table = co.PairTable(spark, bucket_rows=1)
     table.apply(frame(spark, all_))
     check(table, all_)
     # Some baskets change, some go, some come.
@@ -80,7 +80,7 @@ def test_reopened_table_goes_on(spark, tmp_path):
     rng = random.Random(6)
     pick = lambda: rng.sample("abcdefgh", rng.randint(1, 5))
     first, more, last = ([pick() for _ in range(n)] for n in (40, 10, 5))
-    co.PairTable(spark, str(tmp_path), buckets=4).apply(frame(spark, first))
+    co.PairTable(spark, str(tmp_path)).apply(frame(spark, first))
     table = co.PairTable(spark, str(tmp_path))
     check(table, first)
     table.apply(frame(spark, more), frame(spark, first[:10]))
@@ -94,11 +94,24 @@ def test_reopened_table_goes_on(spark, tmp_path):
     check(table, first[10:] + more)
     again = co.PairTable(spark, str(tmp_path))
     again.apply(frame(spark, last))
+    again.clean()
     check(co.PairTable(spark, str(tmp_path)), first[10:] + more + last)
+    assert len(list((tmp_path / "totals").glob("[0-9a-f]*"))) == 1
+
+
+def test_buckets_follow_rows(spark):
+    rng = random.Random(8)
+    first, more = ([rng.sample([f"i{k}" for k in range(40)], 4) for _ in range(n)] for n in (10, 60))
+    table = co.PairTable(spark, bucket_rows=3)
+    table.apply(frame(spark, first))
+    before = table.buckets
+    table.apply(frame(spark, more))
+    assert before == 16 < table.buckets
+    check(co.PairTable(spark, table.folder), first + more)
 
 
 def test_long_basket_and_thresholds(spark):
-    table = co.PairTable(spark, buckets=2)
+    table = co.PairTable(spark)
     table.apply(frame(spark, [[f"i{k:04d}" for k in range(400)]] + [["a", "b"]] * 4 + [["c"]] * 40))
     assert table.scores().count() == 400 * 399 // 2 + 1
     assert [(r.item_a, r.item_b) for r in co.associated(table.scores(least=4, per=2000)).collect()] == [("a", "b")]
