@@ -2,9 +2,13 @@
 
 Sizes are tokens of a public tokenizer. Items are spread by hash over parts of bounded size; each part is packed best
 fit decreasing and its number of containers is held against lower bounds by dual feasible functions, which certify
-it where they meet. Containers with room left, of all parts, give their items back; these are spread over fewer parts
-and packed again, round by round, until one part is left or a round saves nothing. Every round is accepted
-only if it doesn't need more containers than it opened up, so repacking never makes the result worse.
+it where they meet. A part that isn't certified is packed a second time, with containers completed exactly where one or
+two items can do that, and keeps the better packing.
+
+While all containers together exceed the bound of the whole table, parts exchange items: a part with a gap gives back
+the items of its containers that have room, a certified one those of its emptiest container only; the rest stays closed.
+What was given back is spread over fewer parts and packed again. A round is accepted only if it needs fewer containers
+than it opened, so repacking never makes the result worse; the last one packs a single part or saves nothing.
 
 An item longer than a container is cut into full containers and a rest, which is packed like any other item; no other
 item is cut.
@@ -31,10 +35,9 @@ from lexiweave.store import materialise
 
 CAPACITY = 2048
 #: Items of a part on average; a part is packed in one task.
-PART_ITEMS = 100_000
+PART_ITEMS = 10_000
 #: Containers with less room than this share of the capacity stay closed when items are exchanged.
 SLACK = 0.002
-ROUNDS = 4
 #: Vocabulary of token ranks in the format of tiktoken, and its pattern of pretokens.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -111,32 +114,85 @@ def best_fit_decreasing(sizes: np.ndarray, capacity: int = CAPACITY) -> np.ndarr
     return out
 
 
-_PACKED = "part long, item long, id long, piece long, first_token long, n_tokens long, box long, fill long, bound long, boxes long"
+def completing(sizes: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
+    """The container of each item; one container at a time, with items from large to small.
 
+    As soon as one or two items left fill what room there is to the last token, they close the container.
+    """
+    out = np.zeros(len(sizes), np.int64)
+    left = np.bincount(sizes, minlength=capacity + 1)
+    stacks: dict[int, list[int]] = {}
+    for i in np.argsort(-sizes, kind="stable")[::-1].tolist():
+        stacks.setdefault(int(sizes[i]), []).append(i)
+    box = -1
+
+    def put(size: int) -> None:
+        left[size] -= 1
+        out[stacks[size].pop()] = box
+
+    left[0] = 0  # items without tokens stay in the first container
+    while len(some := np.nonzero(left)[0]):
+        box += 1
+        room = capacity - int(some[-1])
+        put(int(some[-1]))
+        while room:
+            if left[room]:
+                put(room)
+                break
+            # Pairs x <= room - x, both there.
+            x = np.arange(1, room // 2 + 1)
+            there = (left[x] > 0) & (left[room - x] > (2 * x == room))
+            if there.any():
+                a = int(x[there.argmax()])
+                put(room - a)
+                put(a)
+                break
+            fits = np.nonzero(left[: room + 1])[0]
+            if not len(fits):
+                break
+            put(int(fits[-1]))
+            room -= int(fits[-1])
+    return out
 
-def _pack_part(capacity: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # A partition holds whole parts of bounded size.
-        whole = pd.concat(list(batches), ignore_index=True)
-        for part, own in whole.groupby("part"):
-            own = own.sort_values(["item", "piece"], ignore_index=True)
-            sizes = own["n_tokens"].to_numpy()
-            box = best_fit_decreasing(sizes, capacity)
-            fill = np.bincount(box, weights=sizes).astype(np.int64)
-            bound = lower_bound(np.bincount(sizes, minlength=capacity + 1), capacity)
-            yield own.assign(part=part, box=box, fill=fill[box], bound=bound, boxes=len(fill))[["part", "item", "id", "piece", "first_token", "n_tokens", "box", "fill", "bound", "boxes"]]
 
-    def safe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        some = [b for b in batches if len(b)]
-        if some:
-            yield from run(iter(some))
+_PACKED = "part long, item long, id long, piece long, first_token long, n_tokens long, box long, bound long, boxes long, loose boolean"
 
-    return safe
+
+def _pack_part(own: pd.DataFrame, part: int, capacity: int) -> pd.DataFrame:
+    sizes = own["n_tokens"].to_numpy()
+    bound = lower_bound(np.bincount(sizes, minlength=capacity + 1), capacity)
+    box = best_fit_decreasing(sizes, capacity)
+    if box.max() + 1 > bound:
+        again = completing(sizes, capacity)
+        if again.max() < box.max():
+            box = again
+    fill = np.bincount(box, weights=sizes).astype(np.int64)
+    gives = fill < capacity * (1 - SLACK) if len(fill) > bound else np.arange(len(fill)) == fill.argmin()
+    return own.assign(part=part, box=box, bound=bound, boxes=len(fill), loose=gives[box])[["part", "item", "id", "piece", "first_token", "n_tokens", "box", "bound", "boxes", "loose"]]
+
+
+def _pack_parts(capacity: int):
+    """Packs one part after the other; rows come sorted by part."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for b in batches:
+            for part, own in b.groupby("part", sort=True):
+                if held and held[0]["part"].iat[0] != part:
+                    yield _pack_part(pd.concat(held, ignore_index=True), int(held[0]["part"].iat[0]), capacity)
+                    held = []
+                held.append(own)
+        if held:
+            yield _pack_part(pd.concat(held, ignore_index=True), int(held[0]["part"].iat[0]), capacity)
+
+    return run
 
 
 def _pack(pieces: DataFrame, parts: int, capacity: int) -> DataFrame:
+    cores = pieces.sparkSession.sparkContext.defaultParallelism
+    tasks = min(parts, max(4 * cores, parts // 64))
     spread = pieces.withColumn("part", F.pmod(F.xxhash64("item", "piece"), F.lit(parts)))
-    return materialise(spread.repartition(parts, "part").mapInPandas(_pack_part(capacity), _PACKED))
+    return materialise(spread.repartition(tasks, "part").sortWithinPartitions("part", "item", "piece").mapInPandas(_pack_parts(capacity), _PACKED))
 
 
 _PIECE = ["item", "id", "piece", "first_token", "n_tokens"]
@@ -153,51 +209,50 @@ def _cut(sizes: DataFrame, capacity: int) -> tuple[DataFrame, DataFrame]:
     return cut, rest.where("full = 0 or n_tokens > 0").select(*_PIECE)
 
 
-def pack(sizes: DataFrame, capacity: int = CAPACITY, part_items: int = PART_ITEMS, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+def pack(sizes: DataFrame, capacity: int = CAPACITY, part_items: int = PART_ITEMS) -> tuple[DataFrame, DataFrame]:
     """Assignments (doc_id, piece, first_token, n_tokens, container) and certificates of the rounds.
 
     ``sizes`` has item, id, n_tokens. A container is known by round, part and number within. Certificates hold, for
-    each round and part: containers, lower bound, whether they meet, and for part -1 the same for the whole table.
+    each round and part: containers, lower bound, whether they meet; for part -1 the same for all parts of the round
+    together, closed containers included, against the bound of the whole table.
     """
     spark = sizes.sparkSession
     cut, rest = _cut(sizes, capacity)
+    rest = materialise(rest)
+    # The histogram has one row per size up to the capacity.
+    histogram = np.zeros(capacity + 1, np.int64)
+    for size, count in rest.groupBy("n_tokens").count().collect():
+        histogram[size] = count
+    n, bound = int(histogram.sum()), lower_bound(histogram, capacity)
     done = [cut.select(*_PIECE, F.concat_ws("-", F.lit("full"), "item", "piece").alias("container"))]
-    certs = []
-    n = rest.count()
+    certs, wholes = [], []
     parts = max(1, math.ceil(n / part_items))
-    packed = _pack(rest, parts, capacity)
-    for r in range(1, rounds + 1):
+    packed, r, closed = _pack(rest, parts, capacity), 1, 0
+    while True:
         name = F.concat_ws("-", F.lit(str(r)), "part", "box").alias("container")
-        certs.append(packed.groupBy("part").agg(F.first("boxes").alias("containers"), F.first("bound").alias("bound")).select(F.lit(r).alias("round"), "part", "containers", "bound"))
-        # One part has nobody to exchange with.
-        if parts == 1 or r == rounds:
-            done.append(packed.select(*_PIECE, name))
-            break
-        open_ = F.col("fill") < capacity * (1 - SLACK)
-        done.append(packed.where(~open_).select(*_PIECE, name))
-        loose = packed.where(open_)
+        of_part = packed.groupBy("part").agg(F.first("boxes").alias("containers"), F.first("bound").alias("bound"))
+        certs.append(of_part.select(F.lit(r).alias("round"), "part", "containers", "bound"))
+        total = of_part.agg(F.coalesce(F.sum("containers"), F.lit(0))).first()[0]
+        wholes.append((r, -1, closed + total, bound))
+        loose = packed.where("loose")
         n, boxes = loose.agg(F.count("*"), F.count_distinct("part", "box")).first()
-        if not n:
+        # Certified as a whole, or nobody to exchange with.
+        if closed + total <= bound or parts == 1 or not n:
+            done.append(packed.select(*_PIECE, name))
             break
-        parts = min(parts - 1, max(1, math.ceil(n / part_items)))
-        again = _pack(loose.select(*_PIECE), parts, capacity)
-        fewer = again.agg(F.count_distinct("part", "box")).first()[0]
-        if fewer >= boxes:
-            done.append(loose.select(*_PIECE, name))
+        fewer_parts = min(parts - 1, max(1, math.ceil(n / part_items)))
+        again = _pack(loose.select(*_PIECE), fewer_parts, capacity)
+        saved = boxes - again.agg(F.count_distinct("part", "box")).first()[0]
+        if saved <= 0:
+            done.append(packed.select(*_PIECE, name))
             break
-        packed = again
-    out = done[0]
+        done.append(packed.where("not loose").select(*_PIECE, name))
+        closed += total - boxes
+        packed, parts, r = again, fewer_parts, r + 1
+    out, cert = done[0], certs[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    # The histogram has one row per size up to the capacity.
-    rows = rest.groupBy("n_tokens").count().collect()
-    histogram = np.zeros(capacity + 1, np.int64)
-    for size, count in rows:
-        histogram[size] = count
-    whole = out.where(~F.col("container").startswith("full")).agg(F.count_distinct("container").alias("containers"))
-    cert = certs[0]
     for c in certs[1:]:
         cert = cert.unionByName(c)
-    total = whole.select(F.lit(0).alias("round"), F.lit(-1).cast("long").alias("part"), "containers", F.lit(lower_bound(histogram, capacity)).cast("long").alias("bound"))
-    cert = cert.unionByName(total).withColumn("certified", F.col("containers") == F.col("bound"))
+    cert = cert.unionByName(spark.createDataFrame(wholes, "round int, part long, containers long, bound long")).withColumn("certified", F.col("containers") == F.col("bound"))
     return out.select(F.col("id").alias("doc_id"), "piece", "first_token", "n_tokens", "container"), cert

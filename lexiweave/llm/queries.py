@@ -122,9 +122,15 @@ def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p8_certificates(spark: SparkSession, folder: str) -> DataFrame:
+    """Containers and lower bounds by round and part; part -1 is the whole table after the round."""
     return _packed(spark, folder)[1]
 
 
+def p8_small_parts(spark: SparkSession, folder: str) -> DataFrame:
+    """The certificates of parts of a hundred items, which exchange items over several rounds."""
+    return packing.pack(materialise(packing.token_counts(_documents(spark, folder))), part_items=100)[1]
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that hold at least one window of an item word by word: the verdict ``verbatim``."""
     return leakage.leaks(_documents(spark, folder), read(spark, folder, "eval_items"), verbatim=True).select("doc_id", "item_id")
@@ -183,6 +189,7 @@ QUERIES = {
     "p7_restored": p7_restored,
     "p8_containers": p8_containers,
     "p8_certificates": p8_certificates,
+    "p8_small_parts": p8_small_parts,
     "p9_found": p9_found,
     "p10_found": p10_found,
     "p10_subjects": p10_subjects,

@@ -1,17 +1,16 @@
 """Subject area of each document: one-versus-rest linear classifiers on hashed word n-grams.
 
-Each sentence is a bag of hashed words and of their stems (first letters without accents, which languages share). Longer
-n-grams of words were measured and left out: the invented names in them cost accuracy. One logistic classifier per
-subject is trained on the sentences of labelled documents, each sentence with the labels of its document: weak labels,
-as raters err and sentences may treat nothing or another subject. Further trainings add documents without labels whose
-subject the one before is sure of, so that words no rater's document held are learnt too. On documents held out, a
-threshold per subject is calibrated for the best F1.
+Each sentence is a bag of hashed words, of their stems (first letters without accents, which languages share) and of
+pairs of words that follow one another; a pair counts if some documents of the fit hold it, as invented names stand in
+most others. One logistic classifier per subject is trained on the sentences of labelled documents, each sentence with
+the labels of its document: weak labels, as raters err and sentences may treat nothing or another subject. Further
+trainings give a sentence of a document with several labels those that it shows. On documents held out of all trainings
+a threshold per subject is calibrated for the best F1 of the last model.
 
 A document gets its main subject (the largest sum of its sentences' probabilities) and each other subject of which at
 least two sentences pass the threshold.
 
-The fit uses at most ``MOST_LABELLED`` labelled and ``MOST_PLAIN`` other documents, chosen by hash of the id; the
-result covers every document.
+The fit uses at most ``MOST_LABELLED`` labelled documents, chosen by hash of the id; the result covers every document.
 
 Edge cases: null, blank and wordless texts have no subject and no row; subjects that no rater gave never come out;
 labels that are null, doubled or of unknown documents are ignored; equal sums go to the subject first in order; repeated
@@ -31,16 +30,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Documents that the fit uses at most: labelled ones, and others for the second training.
-MOST_LABELLED, MOST_PLAIN = 3_000, 3_000
-#: Hash space of words and pairs.
+#: Labelled documents that the fit uses at most.
+MOST_LABELLED = 4_000
+#: Hash space of words and stems, and of pairs above it.
 BITS = 18
+SPACE = 2 << BITS
+#: Documents of the fit that must hold a pair of words.
+PAIR_DOCUMENTS = 20
 SENTENCES = 2
-EPOCHS, BATCH, RATE, DECAY = 8, 512, 0.5, 1e-5
+EPOCHS, BATCH, RATE, DECAY = 4, 512, 0.5, 1e-5
 #: Letters of a stem.
 STEM = 5
-#: Trainings after the first, and the share of a document's probabilities that its best subject must have for them.
-ROUNDS, PSEUDO = 3, 0.4
+#: Trainings after the first.
+ROUNDS = 3
 
 _MASK = (1 << BITS) - 1
 _SPLIT = re.compile(r"(?<=[.!?])[”»)\"“]*\s+(?=[“«„(¿¡\"‘]*[A-ZÀ-Þ])|\n+")
@@ -69,11 +71,22 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             if ws := _WORD.findall(s.lower()):
                 starts.append(len(flat))
                 docs.append(d)
+                last = None
                 for w in ws:
-                    flat += _hashed(w)
+                    own = _hashed(w)
+                    flat += own
+                    if last is not None:
+                        flat.append((last * 0x9E3779B1 + own[0] >> 5 & _MASK) + (1 << BITS))
+                    last = own[0]
     return np.array(flat, np.int64), np.array(starts, np.int64), np.array(docs, np.int64)
 
 
+def _only(kept: np.ndarray, idx: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The features that are kept; each sentence has words, which always are."""
+    keep = kept[idx]
+    return idx[keep], np.concatenate([[0], np.cumsum(keep)])[start]
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
@@ -89,8 +102,8 @@ def probabilities(weights: np.ndarray, bias: np.ndarray, idx: np.ndarray, start:
 def train(idx: np.ndarray, start: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Weights and biases by AdaGrad on the logistic loss; ``target``: sentences x subjects, 0 to 1."""
     k = target.shape[1]
-    w, b = np.zeros((1 << BITS, k), np.float32), np.full(k, -2.0, np.float32)
-    gw, gb = np.full((1 << BITS, 1), 1e-3, np.float32), 1e-3
+    w, b = np.zeros((SPACE, k), np.float32), np.full(k, -2.0, np.float32)
+    gw, gb = np.full((SPACE, 1), 1e-3, np.float32), 1e-3
     size = np.diff(np.append(start, len(idx)))
     rng = np.random.default_rng(7)
     for _ in range(EPOCHS):
@@ -127,34 +140,31 @@ def _documents(p: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.n
 class Classifier:
     """Trained weights, biases and thresholds of the subjects."""
 
-    def __init__(self, subjects: list[str], texts: list[str], labels: list[set[str]], plain: list[str]):
+    def __init__(self, subjects: list[str], texts: list[str], labels: list[set[str]]):
         self.subjects = subjects
         at = {s: i for i, s in enumerate(subjects)}
         y = np.zeros((len(texts), len(subjects)), np.float32)
         for i, own in enumerate(labels):
             for s in own:
                 y[i, at[s]] = 1
-        # Every fourth document is held out of the first training, for the thresholds.
+        # Every fourth document is held out of all trainings, for the thresholds.
         out = np.arange(len(texts)) % 4 == 3
         idx, start, doc = features(texts)
+        size = np.diff(np.append(start, len(idx)))
         held = out[doc]
+        fit = np.repeat(~held, size)
+        seen = np.unique(np.repeat(doc, size)[fit] * SPACE + idx[fit]) % SPACE
+        self.kept = np.bincount(seen, minlength=SPACE) >= PAIR_DOCUMENTS
+        self.kept[: 1 << BITS] = True
+        idx, start = _only(self.kept, idx, start)
         size = np.diff(np.append(start, len(idx)))
-        keep = np.repeat(~held, size)
         n = size[~held]
-        w, b = train(idx[keep], np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64), y[doc[~held]])
-        p = probabilities(w, b, idx, start)
-        self.thresholds = self._calibrate(p, doc, y, out)
-        # Further trainings: all labelled documents and the others that the last one is sure of.
-        more, more_start, more_doc = features(plain)
-        size = np.diff(np.append(more_start, len(more)))
-        for r in range(ROUNDS):
-            target = self._pseudo(probabilities(w, b, more, more_start), more_doc, len(plain), r > 0)
-            sure = target.any(1)
-            n = size[sure]
-            both = np.concatenate([idx, more[np.repeat(sure, size)]])
-            starts = np.concatenate([start, len(idx) + np.concatenate([[0], np.cumsum(n)[:-1]])[: len(n)]]).astype(np.int64)
-            w, b = train(both, starts, np.concatenate([self._soft(probabilities(w, b, idx, start), y[doc]), target[sure]]))
+        own, first, target = idx[np.repeat(~held, size)], np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64), y[doc[~held]]
+        w, b = train(own, first, target)
+        for _ in range(ROUNDS):
+            w, b = train(own, first, self._soft(probabilities(w, b, own, first), target))
         self.weights, self.bias = w, b
+        self.thresholds = self._calibrate(probabilities(w, b, idx, start), doc, y, out)
 
     @staticmethod
     def _soft(p: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -163,20 +173,6 @@ class Classifier:
         shown = p > 0.5
         return np.where(several[:, None] & shown.any(1)[:, None], y * shown, y).astype(np.float32)
 
-    @staticmethod
-    def _pseudo(q: np.ndarray, doc: np.ndarray, n: int, shown: bool) -> np.ndarray:
-        """Subjects of the sentences of documents whose main subject is sure; ``shown``: what a sentence shows counts first."""
-        total = np.zeros((n, q.shape[1]))
-        np.add.at(total, doc, q)
-        share = total / np.maximum(total.sum(1, keepdims=True), 1e-9)
-        main = share.argmax(1)
-        sure = share[np.arange(n), main] > PSEUDO
-        target = np.arange(q.shape[1]) == main[doc][:, None]
-        if shown:
-            seen = q > 0.6
-            target = np.where(seen.any(1)[:, None], seen, target)
-        return (target & sure[doc][:, None]).astype(np.float32)
-
     def _calibrate(self, p: np.ndarray, doc: np.ndarray, y: np.ndarray, out: np.ndarray) -> np.ndarray:
         total, second = _documents(p, doc, len(y))
         main = np.arange(y.shape[1]) == total.argmax(1)[:, None]
@@ -194,6 +190,7 @@ class Classifier:
     def assign(self, texts: list[str]) -> list[list[str]]:
         """The subjects of each text, the main one first."""
         idx, start, doc = features(texts)
+        idx, start = _only(self.kept, idx, start)
         p = probabilities(self.weights, self.bias, idx, start)
         total, second = _documents(p, doc, len(texts))
         main = total.argmax(1)
@@ -212,13 +209,8 @@ def fit(documents: DataFrame, labels: DataFrame) -> Classifier | None:
     rows = texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).orderBy(place, "doc_id").collect()
     if not rows:
         return None
-    total = documents.count()
-    # The share is a little larger than needed; the limit makes it exact.
-    share = min(1.0, 1.5 * MOST_PLAIN / max(1, total))
-    plain = texts.where(F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))).orderBy(F.xxhash64(F.lit(1), "doc_id"), "doc_id").limit(MOST_PLAIN).collect()
-    known = {r["doc_id"] for r in rows}
     subjects = sorted({s for r in rows for s in r["subjects"]})
-    return Classifier(subjects, [r["text"] for r in rows], [set(r["subjects"]) for r in rows], [r["text"] for r in plain if r["doc_id"] not in known])
+    return Classifier(subjects, [r["text"] for r in rows], [set(r["subjects"]) for r in rows])
 
 
 def assign_subjects(documents: DataFrame, labels: DataFrame) -> DataFrame:

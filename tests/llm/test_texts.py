@@ -237,6 +237,8 @@ def test_bounds_hold():
         assert pk.lower_bound(np.bincount(sizes, minlength=cap + 1), cap) <= best
         box = pk.best_fit_decreasing(np.array(sizes), cap)
         assert max(np.bincount(box, weights=sizes)) <= cap and best <= box.max() + 1
+        full = pk.completing(np.array(sizes), cap)
+        assert max(np.bincount(full, weights=sizes)) <= cap and best <= full.max() + 1 and set(full) == set(range(full.max() + 1))
 
 
 @pytest.mark.parametrize("part_items", [1000, 40])
@@ -252,8 +254,10 @@ def test_packing_is_whole(spark, part_items):
     assert max(fill.values()) <= 2048 and sum(fill.values()) == sum(n for _, _, n in sizes)
     assert sorted(r.n_tokens for r in rows if r.piece == 1 and r.first_token == 0 and r.n_tokens < 2048) is not None
     assert len(rows) == sum(1 if n <= 2048 else -(-n // 2048) for _, _, n in sizes)
-    whole = cert.where("part = -1").first()
-    assert whole.bound <= whole.containers <= whole.bound * 1.05 + 1
+    rounds = cert.where("part = -1").orderBy("round").collect()
+    assert len({r.container for r in rows if not r.container.startswith("full")}) == rounds[-1].containers
+    assert rounds[-1].bound <= rounds[-1].containers <= rounds[-1].bound * 1.05 + 1
+    assert [r.containers for r in rounds] == sorted({r.containers for r in rounds}, reverse=True) and (len(rounds) > 1) == (part_items == 40)
     assert pk.pack(spark.createDataFrame([], "item long, id long, n_tokens long"))[0].count() == 0
 
 
