@@ -7,7 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Patterns of the rule tagger in order, and the grammar of noun phrases over tags.
+# Patterns of the rule tagger in order, the grammar of noun phrases over tags, and the words and tags of
+# the rules. The punctuation is written as ranges of ASCII, which Java and RE2 both take; a backslash is none of it.
 WORD_PATTERNS = (
     (r"^-?[0-9]+(.[0-9]+)?$", "CD"),
     (r"^.*ould$", "MD"),
@@ -22,7 +23,7 @@ WORD_PATTERNS = (
     (r"^.*ive$", "JJ"),
     (r"^.*est$", "JJ"),
     (r"^a$", "PREP"),
-    (r"^[!-/:-@\[-`{-~]", "PUN"),
+    (r"^[!-/:-@\[\]-`{-~]", "PUN"),
 )
 POSTAG_VALID = (
     r"^((VBD,|VBG,|VBN,|CD.?,|JJ.?,|\?,){0,2}?(N.?.?,|\?,)+?(CD.,)??)+?((PREP.?|DET.?,|IN.?,|CC.?,|\?,)((VBD,|VBG,|VBN,|CD.?,|JJ.?,|\?,){0,2}?(N.?.?,|\?,)+?)+?)*?$"

@@ -35,9 +35,15 @@ def delete_form(doc_ngram: DataFrame, documents: DataFrame, form: str, ident: st
     """Links without a form: the n-gram goes with its last form, else each link loses the form's occurrences."""
     if last_form:
         return delete_node(doc_ngram, ident)
-    found = form_occurrences(documents, form, fields).withColumn("ngram_id", F.lit(ident)).withColumnRenamed("occs", "less")
-    left = doc_ngram.join(found, ["corpus_id", "doc_id", "ngram_id"], "left")
-    return left.select("corpus_id", "doc_id", "ngram_id", (F.col("occs") - F.coalesce("less", F.lit(0))).alias("occs")).where("occs > 0")
+    keys = ["corpus_id", "doc_id", "ngram_id"]
+    less = form_occurrences(documents, form, fields).select("corpus_id", "doc_id", F.lit(ident).alias("ngram_id"), F.col("occs").alias("less"))
+    return subtract(doc_ngram, less, keys).select(*keys, "occs")
+
+
+def subtract(links: DataFrame, less: DataFrame, keys: list[str]) -> DataFrame:
+    """Links with ``occs`` lowered by ``less`` (keys, less); those that fall to zero are gone."""
+    left = links.join(less, keys, "left").withColumn("occs", F.col("occs") - F.coalesce("less", F.lit(0)))
+    return left.drop("less").where("occs > 0")
 
 
 def delete_node(doc_ngram: DataFrame, ident: str) -> DataFrame:

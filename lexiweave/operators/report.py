@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexiweave.operators.index import small
+from lexiweave.store import materialise
+
 SEPARATOR = " *** "
 # The columns of a whitelist report, in order.
 WHITELIST_COLUMNS = (
@@ -33,8 +36,7 @@ def period_maxima(df: DataFrame, sizes: DataFrame, key: str, length: Column) ->
 
     ``df``: corpus_id, key, df and what ``length`` reads; ``sizes``: corpus_id, docs. Corpora without documents are left out.
     """
-    # One row per corpus.
-    r = df.join(F.broadcast(sizes.where("docs > 0")), "corpus_id").withColumn("ratio", F.col("df") / F.col("docs")).withColumn("ratio_n", F.pow(F.col("df").cast("double"), length) / F.col("docs"))
+    r = df.join(small(sizes.where("docs > 0")), "corpus_id").withColumn("ratio", F.col("df") / F.col("docs")).withColumn("ratio_n", F.pow(F.col("df").cast("double"), length) / F.col("docs"))
     return r.groupBy(key).agg(
         F.max("ratio").alias("max_occs"),
         F.max_by("corpus_id", F.struct("ratio", "corpus_id")).alias("max_period"),
@@ -44,24 +46,43 @@ def period_maxima(df: DataFrame, sizes: DataFrame, key: str, length: Column) ->
 
 
 def whitelist_report(forms: DataFrame, sizes: DataFrame, min_occurrences: int = 1, status: str = "") -> DataFrame:
-    """One row per n-gram with the report's columns in snake case.
+    """One row per n-gram with the report's columns in snake case, but for the list of documents.
 
-    ``forms``: corpus_id, doc_id, ngram_id, form, postag (array); ``sizes``: corpus_id, docs. "Total" is the sum of
-    document frequencies. Lists are sorted.
+    ``forms``: corpus_id, doc_id, ngram_id, form, postag (array) and, if the n-grams of a document are told apart
+    already, ``first``: 1 for one form of each n-gram in a document, else 0; ``sizes``: corpus_id, docs. "Total" is the
+    sum of document frequencies. Lists are sorted. The forms of an n-gram have the same number of words.
     """
-    heads = forms.groupBy("ngram_id").agg(F.max("form").alias("label"), F.max_by(F.array_join("postag", ","), "form").alias("postag"), _joined("form").alias("forms"), _joined("corpus_id").alias("periods"), _joined(F.col("doc_id").cast("string")).alias("documents"))
-    heads = heads.withColumn("length", F.size(F.split("label", " ")))
-    df = forms.groupBy("corpus_id", "ngram_id").agg(F.count_distinct("doc_id").alias("df"))
-    total = df.groupBy("ngram_id").agg(F.sum("df").alias("total")).where(F.col("total") >= min_occurrences)
-    best = period_maxima(df.join(heads.select("ngram_id", "length"), "ngram_id"), sizes, "ngram_id", F.col("length"))
-    out = heads.join(total, "ngram_id").join(best, "ngram_id")
-    return out.select("ngram_id", F.lit(status).alias("status"), "label", "postag", "total", "forms", "length", F.pow(F.col("total").cast("double"), "length").alias("total_n"), "max_occs", "max_period", "max_occs_n", "max_period_n", "periods", "documents")
+    df = F.sum("first") if "first" in forms.columns else F.count_distinct("doc_id")
+    of = forms.groupBy("ngram_id", "corpus_id").agg(df.alias("df"), F.max_by(F.struct("form", F.array_join("postag", ",").alias("postag")), "form").alias("head"), F.collect_set("form").alias("forms"))
+    of = of.join(small(sizes), "corpus_id", "left").withColumn("length", F.size(F.split("head.form", " ")))
+    ratio = F.when(F.col("docs") > 0, F.col("df") / F.col("docs"))
+    ratio_n = F.when(F.col("docs") > 0, F.pow(F.col("df").cast("double"), F.col("length")) / F.col("docs"))
+    of = of.withColumns({"ratio": ratio, "ratio_n": ratio_n})
+    ranked = lambda r: F.max_by("corpus_id", F.when(F.col(r).isNotNull(), F.struct(r, "corpus_id")))
+    out = of.groupBy("ngram_id").agg(
+        F.max("head").alias("head"),
+        F.sum("df").alias("total"),
+        F.array_join(F.sort_array(F.array_distinct(F.flatten(F.collect_list("forms")))), SEPARATOR).alias("forms"),
+        F.max("ratio").alias("max_occs"),
+        ranked("ratio").alias("max_period"),
+        F.max("ratio_n").alias("max_occs_n"),
+        ranked("ratio_n").alias("max_period_n"),
+        _joined("corpus_id").alias("periods"),
+    )
+    out = out.where(F.col("total") >= min_occurrences).withColumn("length", F.size(F.split("head.form", " ")))
+    return out.select("ngram_id", F.lit(status).alias("status"), F.col("head.form").alias("label"), "head.postag", "total", "forms", "length", F.pow(F.col("total").cast("double"), "length").alias("total_n"), "max_occs", "max_period", "max_occs_n", "max_period_n", "periods")
 
 
-def whitelist_file_rows(report: DataFrame) -> DataFrame:
-    """The report under the names of a whitelist file."""
+def report_documents(forms: DataFrame, report: DataFrame) -> DataFrame:
+    """ngram_id, doc_id of each n-gram of a report: the documents column of its file in long form."""
+    return forms.select("ngram_id", F.col("doc_id").cast("string").alias("doc_id")).distinct().join(report.select("ngram_id"), "ngram_id", "left_semi")
+
+
+def whitelist_file_rows(report: DataFrame, documents: DataFrame) -> DataFrame:
+    """The report under the names of a whitelist file; only there documents (ngram_id, doc_id) are joined into one cell."""
     names = ("status", "label", "postag", "total", "forms", "length", "total_n", "max_occs", "max_period", "max_occs_n", "max_period_n", "periods", "documents")
-    return report.select(*(F.col(c).alias(n) for c, n in zip(names, WHITELIST_COLUMNS)))
+    cells = documents.groupBy("ngram_id").agg(_joined("doc_id").alias("documents"))
+    return report.join(cells, "ngram_id", "left").select(*(F.col(c).alias(n) for c, n in zip(names, WHITELIST_COLUMNS)))
 
 
 def csv_value(df: DataFrame) -> Column:
@@ -83,16 +104,22 @@ def csv_line(df: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, header: bool = True, order: list[str] | None = None) -> None:
-    """CSV text: one sorted file with a header, as people read it, or many files without."""
-    if not header and not order:
-        csv_line(df).write.mode("overwrite").text(path)
+    """CSV text in files whose names give their order: sorted by range over all tasks, the header in the first of them."""
+    if not order:
+        lines = csv_line(df)
+        if header:
+            lines = df.sparkSession.createDataFrame([(_head(df),)], "value string").unionByName(lines)
+        lines.write.mode("overwrite").text(path)
         return
-    keys = F.struct(*(F.col(f"`{c}`") for c in order)) if order else F.struct(F.lit(0))
+    keys = F.struct(*(F.col(f"`{c}`") for c in order))
     lines = df.select(F.lit(1).alias("part"), keys.alias("at"), csv_value(df).alias("value"))
     if header:
-        head = ",".join(f'"{c}"' for c in df.columns)
-        lines = lines.unionByName(df.sparkSession.range(1).select(F.lit(0).alias("part"), F.lit(head).alias("value")), allowMissingColumns=True)
-    lines.repartition(1).sortWithinPartitions("part", "at").select("value").write.mode("overwrite").text(path)
+        lines = lines.unionByName(df.sparkSession.range(1).select(F.lit(0).alias("part"), F.lit(_head(df)).alias("value")), allowMissingColumns=True)
+    lines.repartitionByRange("part", "at").sortWithinPartitions("part", "at").select("value").write.mode("overwrite").text(path)
+
+
+def _head(df: DataFrame) -> str:
+    return ",".join(f'"{c}"' for c in df.columns)
 
 
 def cooccurrence_rows(cooc: DataFrame, min_cooc: int, periods: list[str] | str | None = None) -> DataFrame:
@@ -103,15 +130,35 @@ def cooccurrence_rows(cooc: DataFrame, min_cooc: int, periods: list[str] | str |
     return (rows if periods is None else rows.where(F.col("corpus_id").isin(periods))).select("a", "b", "cooc", "corpus_id")
 
 
+def numbered(df: DataFrame, column: str, name: str = "i") -> DataFrame:
+    """The distinct values of a column with their 1-based places in sorted order.
+
+    Values are sorted by range over all tasks and counted within each; only the size of each range is shared.
+    """
+    spark = df.sparkSession
+    parts = df.select(column).distinct().repartitionByRange(column).sortWithinPartitions(column)
+    rows = materialise(parts.select(column, F.spark_partition_id().alias("part"), (F.monotonically_increasing_id() % (1 << 33) + 1).alias("at")))
+    sizes = sorted(rows.groupBy("part").count().collect())  # one row per range
+    before, starts = 0, []
+    for part, n in sizes:
+        starts.append((part, before))
+        before += n
+    start = spark.createDataFrame(starts, "part int, before long")
+    return rows.join(F.broadcast(start), "part").select(column, (F.col("before") + F.col("at")).cast("int").alias(name))
+
+
 def archive_matrix(doc_term: DataFrame, terms: DataFrame, min_cooc: int = 1) -> DataFrame:
     """i <= j, cooc, corpus_id: 1-based places of sorted terms, the diagonal being document frequency.
 
-    ``doc_term``: corpus_id, doc_id, term; ``terms``: the fixed list of terms, ranked in one small sort.
+    ``doc_term``: corpus_id, doc_id, term; ``terms``: the list of terms.
     """
-    place = terms.select("term").distinct().withColumn("i", F.row_number().over(Window.orderBy("term")))
-    rows = doc_term.select("corpus_id", "doc_id", "term").distinct().join(place, "term")
-    sets = rows.groupBy("corpus_id", "doc_id").agg(F.sort_array(F.collect_list("i")).alias("s"))
-    left = sets.select("corpus_id", "s", F.posexplode("s").alias("p", "i"))
+    rows = doc_term.select("corpus_id", "doc_id", "term").distinct().join(small(numbered(terms, "term")), "term")
+    return matrix_of_sets(rows.groupBy("corpus_id", "doc_id").agg(F.collect_list("i").alias("s")), min_cooc)
+
+
+def matrix_of_sets(sets: DataFrame, min_cooc: int = 1) -> DataFrame:
+    """``archive_matrix`` of documents that are one row each: corpus_id and ``s``, the distinct places of their terms."""
+    left = sets.select("corpus_id", F.sort_array("s").alias("s")).select("corpus_id", "s", F.posexplode("s").alias("p", "i"))
     pairs = left.select("corpus_id", "i", F.explode(F.expr("slice(s, p + 1, size(s))")).alias("j"))
     return pairs.groupBy("corpus_id", "i", "j").agg(F.count("*").alias("cooc")).where(F.col("cooc") >= min_cooc)
 
@@ -155,5 +202,5 @@ def graph_xml(nodes: DataFrame, edges: DataFrame, meta: dict[str, str] | None =
 
 
 def write_graph_xml(lines: DataFrame, path: str) -> None:
-    """One file; a graph to be drawn is small, so its lines are sorted into one partition by Spark."""
-    lines.repartition(1).sortWithinPartitions("part").select("value").write.mode("overwrite").text(path)
+    """The lines in order of part, in files whose names give their order; joined they are the graph's file."""
+    lines.repartitionByRange("part", F.xxhash64("value")).sortWithinPartitions("part").select("value").write.mode("overwrite").text(path)

@@ -17,6 +17,26 @@ def phrase_search(documents: DataFrame, phrases: list[str], content: str = "cont
     return documents.where(reduce(lambda a, b: a & b, has, F.lit(True)))
 
 
+def postings(documents: DataFrame, content: str = "content") -> DataFrame:
+    """corpus_id, doc_id, term, at: the places of each term in each document, to be stored by term."""
+    rows = documents.select("corpus_id", "doc_id", F.posexplode(tokens(F.col(content))).alias("p", "term"))
+    return rows.groupBy("corpus_id", "doc_id", "term").agg(F.sort_array(F.collect_list("p")).alias("at"))
+
+
+def phrase_hits(stored: DataFrame, phrases: list[str]) -> DataFrame:
+    """corpus_id, doc_id of documents in which every phrase stands, from stored ``postings``.
+
+    Only the rows of the phrases' terms are read. Each place of a phrase's term votes for the place where the phrase
+    would start; a start that all its terms vote for is an occurrence.
+    """
+    votes = [(k, term, p) for k, phrase in enumerate(phrases) for p, term in enumerate(phrase.lower().split())]
+    asked = stored.sparkSession.createDataFrame(votes, "phrase int, term string, p int")
+    near = stored.where(F.col("term").isin(sorted({t for _, t, _ in votes}))).join(F.broadcast(asked), "term")  # a row for each word of the phrases
+    starts = near.select("corpus_id", "doc_id", "phrase", F.explode("at").alias("q"), "p").select("corpus_id", "doc_id", "phrase", (F.col("q") - F.col("p")).alias("start"))
+    found = starts.groupBy("corpus_id", "doc_id", "phrase", "start").agg(F.count("*").alias("n")).join(F.broadcast(asked.groupBy("phrase").agg(F.count("*").alias("words"))), "phrase").where("n = words")
+    return found.groupBy("corpus_id", "doc_id").agg(F.count_distinct("phrase").alias("k")).where(F.col("k") == len(phrases)).select("corpus_id", "doc_id")
+
+
 def phrase_count(documents: DataFrame, phrases: list[str], content: str = "content") -> DataFrame:
     return phrase_search(documents, phrases, content).agg(F.count("*").alias("n_docs"))
 

@@ -53,14 +53,14 @@ def _uneven_csv(spark: SparkSession, path: str, encoding: str) -> tuple[DataFram
 def read_csv(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
     """A CSV file with header, all strings; records may hold line breaks.
 
-    Missing cells are empty, surplus cells are left aside (see ``csv_uneven``). Records whose quotes never close are
-    no rows; ``csv_uneven`` has them with their reason.
+    Missing cells are empty, surplus cells are left aside (see ``csv_uneven``), undecodable bytes are dropped. Records
+    whose quotes never close are no rows; ``csv_uneven`` has them with their reason.
     """
     df, kept, header = _uneven_csv(spark, path, encoding)
     if not header:
         return df.select()
     whole = F.col(kept).isNull() | _cells(kept, header[0]).isNotNull()
-    return df.where(whole).select(*(F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in header))
+    return df.where(whole).select(*(F.replace(F.coalesce(F.col(f"`{c}`"), F.lit("")), F.lit("\ufffd"), F.lit("")).alias(c) for c in header))
 
 
 def csv_uneven(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
@@ -101,7 +101,7 @@ def medline_records(lines: DataFrame, source: Column | None = None) -> DataFrame
 
     Six blanks continue the line before; repeated tags keep all values in order.
     """
-    joined = F.regexp_replace(F.regexp_replace("value", "\r", ""), "\n {6}", " ")
+    joined = F.regexp_replace(F.regexp_replace("value", "\r\n?", "\n"), "\n {6}", " ")
     parts = F.filter(F.split(joined, "\n"), lambda x: x.rlike(r"^[A-Z0-9 ]{4}-"))
     pairs = F.transform(parts, lambda x: F.struct(F.trim(F.substring(x, 1, 4)).alias("tag"), F.substring(x, 7, 1 << 30).alias("text")))
     tags = F.array_distinct(F.transform("pairs", lambda p: p["tag"]))
@@ -110,10 +110,50 @@ def medline_records(lines: DataFrame, source: Column | None = None) -> DataFrame
     return lines.select(pairs.alias("pairs"), *keep).where(F.size("pairs") > 0).withColumn("tags", tags).select(F.map_from_arrays("tags", values).alias("record"), *(["source_path"] if keep else []))
 
 
-def medline(spark: SparkSession, path: str | list[str], period_size: int = 4) -> DataFrame:
+#: Bytes at the head of a file from which its line ends are told.
+HEAD = 1 << 16
+
+
+def _by_line_end(spark: SparkSession, path: str | list[str]) -> dict[str, list[str]]:
+    """Files by what ends their lines; folders and patterns are resolved, hidden files left out."""
+    out: dict[str, list[str]] = {}
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for one in [path] if isinstance(path, str) else path:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(one)
+        fs = p.getFileSystem(conf)
+        found = [f for g in fs.globStatus(p) or [] for f in (fs.listStatus(g.getPath()) if g.isDirectory() else [g])]
+        if not found:
+            raise ValueError(f"no such file: {one}")
+        for f in found:
+            if f.isDirectory() or f.getPath().getName()[0] in "._":
+                continue
+            stream = fs.open(f.getPath())
+            head = bytes(stream.readNBytes(HEAD))
+            stream.close()
+            out.setdefault("\r\n" if b"\r\n" in head else "\r" if b"\r" in head and b"\n" not in head else "\n", []).append(f.getPath().toString())
+    return out
+
+
+def text_records(spark: SparkSession, path: str | list[str], encoding: str = "UTF-8") -> DataFrame:
+    """value: what stands between blank lines of text files, whatever ends their lines; undecodable bytes are dropped.
+
+    The line ends at the head of a file decide where it may be split between tasks; records of files with mixed ends come
+    out right as well. Files in another encoding than UTF-8 are decoded whole, one task each.
+    """
+    if encoding.upper().replace("_", "-") != "UTF-8":
+        chunks = spark.read.format("binaryFile").load(path).select(F.decode("content", encoding).alias("value"))
+    else:
+        frames = [spark.read.text(files, lineSep=end * 2) for end, files in _by_line_end(spark, path).items()]
+        chunks = frames[0] if frames else spark.createDataFrame([], "value string")
+        for f in frames[1:]:
+            chunks = chunks.unionByName(f)
+    clean = F.regexp_replace(F.replace(F.make_valid_utf8("value"), F.lit("\ufffd"), F.lit("")), "\r\n?", "\n")
+    return chunks.select(F.explode(F.split(clean, r"\n[ \t]*\n")).alias("value")).where(F.trim("value") != "")
+
+
+def medline(spark: SparkSession, path: str | list[str], period_size: int = 4, encoding: str = "UTF-8") -> DataFrame:
     """Documents of MEDLINE exports; the period is the head of the publication date. Records without one drop out."""
-    lines = spark.read.text(path, lineSep="\n\n")
-    rec = medline_records(lines)
+    rec = medline_records(text_records(spark, path, encoding))
     one = lambda t: F.array_join(F.col("record")[t], " ")
     got = rec.select(one("PMID").alias("doc_id"), F.substring(one("DP"), 1, period_size).alias("corpus_id"), F.coalesce(one("TI"), one("PMID")).alias("label"), one("AB").alias("content"), one("TI").alias("title"), "record")
     return got.where("doc_id is not null and corpus_id is not null and corpus_id <> '' and content is not null")
@@ -142,22 +182,45 @@ def whitelist_csv(spark: SparkSession, path: str) -> DataFrame:
     return whitelist(read_csv(spark, path))
 
 
-def stop_ngrams(spark: SparkSession, source: str | list[str]) -> DataFrame:
-    """label and n of stop n-grams, from a file (one a line), a list, or ``builtin://<language>``."""
+def _labels(source: list) -> list[str]:
+    """Stop n-grams of a list of words, of n-grams (lists of words), or of such lists by length."""
+    out = []
+    for x in source:
+        if isinstance(x, str):
+            out.append(x)
+        elif all(isinstance(w, str) for w in x):
+            out.append(" ".join(x))
+        else:
+            out += _labels(x)
+    return out
+
+
+def stop_ngrams(spark: SparkSession, source: str | list, encoding: str = "UTF-8") -> DataFrame:
+    """label and n of stop n-grams, from a file (one a line), a list (flat, of n-grams, or by length), or ``builtin://<language>``."""
     if isinstance(source, str) and source.startswith("builtin://"):
         from pyspark.ml.feature import StopWordsRemover
 
         source = StopWordsRemover.loadDefaultStopWords(source.removeprefix("builtin://"))
     if isinstance(source, str):
-        rows = spark.read.text(source).select(F.lower(F.trim("value")).alias("label"))
+        rows = text_records(spark, source, encoding).select(F.explode(F.split("value", "\n")).alias("label")).select(F.lower(F.trim("label")).alias("label"))
     else:
-        rows = spark.createDataFrame([(w.lower().strip(),) for w in source], "label string")
+        rows = spark.createDataFrame([(w.lower().strip(),) for w in _labels(source)], "label string")
     return rows.where("label <> ''").distinct().withColumn("n", F.size(F.split("label", " ")))
 
 
+def add_stops(stops: DataFrame, *labels: str) -> DataFrame:
+    """A stop list with further n-grams."""
+    return stops.unionByName(stop_ngrams(stops.sparkSession, list(labels))).distinct()
+
+
 READERS: dict[str, Callable[..., DataFrame]] = {"recordcsv": record_csv, "basecsv": read_csv, "medline": medline, "medlinearchive": medline_archive, "whitelist": whitelist_csv}
 
 
+def register_reader(protocol: str, reader: Callable[..., DataFrame]) -> None:
+    """Make a further format known: a function of session and path that gives documents."""
+    READERS[protocol] = reader
+
+
 def open_source(spark: SparkSession, dsn: str, **options) -> DataFrame:
     """``protocol://path`` read by the protocol's reader."""
     protocol, sep, path = dsn.partition("://")

@@ -119,6 +119,98 @@ def test_forms(spark, made):
     assert engine.dataset("demo").load("doc_ngram", "ngram_id", nid("alone")).count() == 0
 
 
+def test_forms_of_an_ngram(spark, made):
+    engine, _ = made
+    data = engine.dataset("demo")
+    seen = nid("visualisation")
+    occs = lambda: {r.doc_id: r.occs for r in data.load("doc_ngram", "ngram_id", seen).collect()}
+    before = occs()
+    # One of two forms: the n-gram stays where the other one stands.
+    assert engine.delete_form("demo", "visualization", seen).first().doc_count == len(before)
+    assert occs() == {"59": 3} and {r.form for r in data.load("doc_form", "ngram_id", seen).collect()} == {"visualisation"}
+    engine.delete_form("demo", "visualisation", seen)
+    assert occs() == {} and data.load("doc_form", "ngram_id", seen).count() == 0
+
+
+def test_listings_search_and_master(spark, made):
+    engine, root = made
+    assert engine.datasets() == ["demo"] and "whitelist_master" in engine.dataset("demo").tables()
+    master = {r.label: r for r in engine.dataset("demo").read("whitelist_master").collect()}
+    assert master["team"].status == "w" and master["team"].total == 3 and master["team"].periods == "FET"
+    (path,) = engine.whitelists()
+    assert path.endswith("demo_master")
+    again = engine.whitelist("demo_master")
+    assert {r.form for r in again.collect()} >= {"team", "scientific research"} and engine.whitelist("demo").count() == 7
+    assert {r.doc_id for r in engine.search("demo", ["scientific research", "TEAM"]).collect()} == {"59", "60"}
+    assert engine.search("demo", ["research scientific"]).count() == 0
+    (root / "sources").mkdir()
+    (root / "sources" / "a.csv").write_text("x")
+    (root / "sources" / "~b.csv").write_text("x")
+    assert [p.rsplit("/", 1)[-1] for p in engine.source_files()] == ["a.csv"] and engine.user_files("demo", "gexf") == []
+    assert not engine.delete_whitelist(f"{root}/docs.csv") and engine.delete_whitelist(path) and engine.whitelists() == []
+
+
+def test_dataset_parts(spark, tmp_path):
+    from lexiweave.plans.dataset import Dataset
+
+    data = Dataset(spark, str(tmp_path), "d")
+    rows = lambda *x: spark.createDataFrame(list(x), "k long, v string")
+    assert not data.exists("t") and data.tables() == []
+    data.merge("t", rows((1, "a"), (2, "b")), ["k"])
+    data.merge("t", rows((2, "x"), (3, "c")), ["k"])
+    assert {tuple(r) for r in data.read("t").collect()} == {(1, "a"), (2, "b"), (3, "c")} and len(data._current("t")[1]) == 2
+    data.upsert("t", rows((2, "y"), (4, "d")), ["k"])
+    assert {tuple(r) for r in data.read("t").collect()} == {(1, "a"), (2, "y"), (3, "c"), (4, "d")}
+    # Two writers that start from the same manifest.
+    other = Dataset(spark, str(tmp_path), "d")
+    stale = other._current("t")[0]
+    data.delete("t", "k", 1)
+    with pytest.raises(RuntimeError):
+        other._add("t", rows((9, "z")), stale, [])
+    data.clean("t")
+    assert data.read("t").count() == 3 and len([p for p in (tmp_path / "d" / "t").iterdir() if p.is_dir()]) == 1
+
+
+def test_frequent_items_are_cut_into_blocks(spark, monkeypatch):
+    import itertools
+    import random
+
+    rng = random.Random(4)
+    sets = {d: set(rng.sample(range(1, 30), rng.randint(1, 6))) | ({0} if d % 3 else set()) for d in range(90)}
+    links = spark.createDataFrame([(d, i) for d, s in sets.items() for i in s], "doc_id long, ngram_id long")
+    df = links.groupBy("ngram_id").agg(F.count("*").alias("df"))
+    shared = {(a, b): len(sets[a] & sets[b]) for a, b in itertools.combinations(sets, 2)}
+    whole = {(r.a, r.b): r.weight for r in graph.log_jaccard(links, df).collect()}
+    monkeypatch.setattr(graph, "BLOCK_DOCUMENTS", 20)
+    for least in (1, 2, 3):
+        got = graph.shared_items(links, least=least).collect()
+        assert len(got) == len({(r.a, r.b) for r in got}) and {(r.a, r.b): r.shared for r in got} == {k: n for k, n in shared.items() if n >= least}
+    got = graph.log_jaccard(links, df, least=0.3).collect()
+    assert len(got) == len({(r.a, r.b) for r in got}) and {(r.a, r.b) for r in got} == {k for k, w in whole.items() if w >= 0.3}
+
+
+def test_object_updates(spark, made):
+    rows = [("NGram", "n", "Document", "d", 2, 1), ("NGram", "n", "Document", "d", 3, 2), ("Corpus", "c", "Document", "d", 1, 1), ("Corpus", "c", "Document", "d", 1, 2), ("NGram", "n", "NGram", "m", 4, 1), ("NGram", "n", "NGram", "m", 7, 2), ("NGram", "n", "Document", "e", 1, 1), ("NGram", "n", "Document", "e", -1, 2)]
+    got = index.merge_objects(spark.createDataFrame(rows, "category string, id string, target string, neighbour string, weight long, seq long")).collect()
+    assert {(r.category, r.target, r.neighbour): r.weight for r in got} == {("NGram", "Document", "d"): 5, ("Corpus", "Document", "d"): 1, ("NGram", "NGram", "m"): 7}
+    engine, _ = made
+    links = engine.dataset("demo").read("doc_ngram")
+    one = links.limit(1)
+    n = links.count()
+    assert engine.update("demo", "doc_ngram", one.withColumn("occs", F.lit(0).cast("long")), ["corpus_id", "doc_id", "ngram_id"]).count() == n - 1
+    with_own = Engine(spark, engine.root, stemmer=index.identity_stems)
+    assert with_own.extract_file(f"recordcsv://{engine.root}/docs.csv").count() > 0
+
+
+def test_numbered_and_sorted_files(spark, tmp_path):
+    words = [f"w{i * 7919 % 1000:04d}" for i in range(1000)]
+    df = spark.createDataFrame([(w,) for w in words], "term string")
+    assert {r.term: r.i for r in report.numbered(df, "term").collect()} == {w: i for i, w in enumerate(sorted(words), 1)}
+    report.write_csv(df, f"{tmp_path}/s", order=["term"])
+    lines = [x for p in sorted((tmp_path / "s").glob("part-*")) for x in p.read_text().splitlines()]
+    assert lines == ['"term"', *(f'"{w}"' for w in sorted(words))]
+
+
 def test_stream_equals_batch(spark, made, tmp_path):
     engine, root = made
     docs = readers.open_source(spark, f"recordcsv://{root}/docs.csv")
@@ -144,6 +236,34 @@ def test_medline(spark, tmp_path):
     wl = spark.createDataFrame([("text of", "L"), ("more", "M")], "form string, label string")
     m = Engine(spark, str(tmp_path)).index_archive(str(tmp_path), ["1999"], wl, min_cooc=1)
     assert {(r.i, r.j, r.cooc) for r in m.collect()} == {(1, 1, 1), (1, 2, 1), (2, 2, 1)}
+    engine = Engine(spark, str(tmp_path))
+    engine.index_archive(str(tmp_path), ["1999"], wl, out=f"{tmp_path}/m", min_cooc=1, store="arch")
+    assert {(r.corpus_id, r.a, r.b, r.cooc) for r in engine.archive("arch", "1999").collect()} == {("1999", "L", "L", 1), ("1999", "L", "M", 1), ("1999", "M", "M", 1)}
+    assert "".join(p.read_text() for p in sorted((tmp_path / "m-terms").glob("part-*"))).split() == ['"L"', '"M"']
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\r", "mixed"])
+def test_medline_line_ends(spark, tmp_path, end):
+    recs = [f"PMID- {i}\nDP  - 200{i}\nTI  - T{i}\nAB  - text {i}\n      goes on" for i in range(4)]
+    text = "\n\n\n".join(recs[:2]) + "\n \n" + "\n\n".join(recs[2:])
+    raw = text.replace("\n", end).encode() if end != "mixed" else ("\n\n".join(recs[:2]) + "\n\n" + "\n\n".join(recs[2:]).replace("\n", "\r\n")).encode()
+    (tmp_path / "m.txt").write_bytes(raw.replace(b"text 1", b"te\xffxt 1"))
+    got = {r.doc_id: (r.corpus_id, r.title, r.content) for r in readers.medline(spark, f"{tmp_path}/m.txt").collect()}
+    assert got == {str(i): (f"200{i}", f"T{i}", f"text {i} goes on") for i in range(4)}
+    (tmp_path / "l.txt").write_bytes("PMID- 1\nDP  - 1999\nAB  - Größe".encode("latin-1"))
+    assert readers.medline(spark, f"{tmp_path}/l.txt", encoding="ISO-8859-1").first().content == "Größe"
+    with pytest.raises(ValueError):
+        readers.medline(spark, f"{tmp_path}/none.txt")
+
+
+def test_stop_lists(spark, tmp_path):
+    (tmp_path / "s.txt").write_bytes(b"The\r\nof the\r\n\r\n a \r\n")
+    want = {("the", 1), ("of the", 2), ("a", 1)}
+    assert {tuple(r) for r in readers.stop_ngrams(spark, f"{tmp_path}/s.txt").collect()} == want
+    for source in (["the", "of the", "a"], [["the"], ["of", "the"], ["a"]], [[["the"], ["a"]], [["of", "the"]]]):
+        stops = readers.stop_ngrams(spark, source)
+        assert {tuple(r) for r in stops.collect()} == want
+    assert {r.label for r in readers.add_stops(stops, "An", "a").collect()} == {"the", "of the", "a", "an"}
 
 
 def test_graph_properties(spark):
@@ -225,4 +345,4 @@ def test_queries_on_all_ngram_lengths(spark, tmp_path):
         n = len(t.split())
         df = {c: sum(x == c for x, _ in docs[t]) for c in ("s1", "s2")}
         assert (r.label, r.total, r.length, r.total_n, r.max_occs, r.max_occs_n) == (max(forms[t]), len(docs[t]), n, len(docs[t]) ** n, max(df.values()) / 2, max(df.values()) ** n / 2)
-        assert r.postag == ",".join(tags(r.label)) and r.forms == " *** ".join(sorted(forms[t])) and r.documents == " *** ".join(sorted(d for _, d in docs[t]))
+        assert r.postag == ",".join(tags(r.label)) and r.forms == " *** ".join(sorted(forms[t]))
