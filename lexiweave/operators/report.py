@@ -169,14 +169,8 @@ def _xml(c: Column) -> Column:
     return c
 
 
-def graph_xml(nodes: DataFrame, edges: DataFrame, meta: dict[str, str] | None = None, with_edges: bool = True) -> DataFrame:
-    """``part``, ``value``: lines of a GEXF 1.1 file in order of part.
-
-    ``nodes``: category, id, label, weight, content, keywords (array); ``edges``: src_category, src, dst_category, dst,
-    weight. Edges of weight 0 or to nodes that aren't there are left out; edges are directed.
-    """
-    spark = nodes.sparkSession
-    meta = meta or {}
+def graph_head(meta: dict[str, str]) -> str:
+    """A GEXF 1.1 file up to its first node."""
     attrs = "".join(f'<attribute id="{i}" title="{t}" type="{k}"></attribute>' for i, (t, k) in enumerate((("weight", "float"), ("category", "string"), ("content", "string"), ("keyword", "string"))))
     esc = lambda s: str(s).replace("&", "&amp;").replace("<", "&lt;").replace('"', "&quot;")
     params = "".join(f'<param key="{esc(k)}" value="{esc(v)}"/>' for k, v in meta.items() if k not in ("date", "description", "creator"))
@@ -185,6 +179,17 @@ def graph_xml(nodes: DataFrame, edges: DataFrame, meta: dict[str, str] | None =
         f'<meta lastmodifieddate="{esc(meta.get("date", ""))}"><description>{esc(meta.get("description", ""))}</description><creator>{esc(meta.get("creator", ""))}</creator><parameters>{params}</parameters></meta>\n'
         f'<graph type="static">\n<attributes class="node" type="static">{attrs}</attributes>\n<nodes>'
     )
+    return head
+
+
+def graph_xml(nodes: DataFrame, edges: DataFrame, meta: dict[str, str] | None = None, with_edges: bool = True) -> DataFrame:
+    """``part``, ``value``: lines of a GEXF 1.1 file in order of part.
+
+    ``nodes``: category, id, label, weight, content, keywords (array); ``edges``: src_category, src, dst_category, dst,
+    weight. Edges of weight 0 or to nodes that aren't there are left out; edges are directed.
+    """
+    spark = nodes.sparkSession
+    head = graph_head(meta or {})
     fixed = spark.createDataFrame([(0, head), (2, "</nodes>\n<edges>"), (4, "</edges>\n</graph>\n</gexf>")], "part int, value string")
     value = lambda i, c: F.concat(F.lit(f'<attvalue for="{i}" value="'), c, F.lit('" />'))
     gid = lambda cat, i: F.concat(_xml(F.col(cat)), F.lit("::"), _xml(F.col(i)))
@@ -195,8 +200,8 @@ def graph_xml(nodes: DataFrame, edges: DataFrame, meta: dict[str, str] | None =
     if with_edges:
         there = lambda c: nodes.select(F.col("category").alias(f"{c}_category"), F.col("id").alias(c)).distinct()
         kept = edges.where("weight <> 0").join(there("src"), ["src_category", "src"], "left_semi").join(there("dst"), ["dst_category", "dst"], "left_semi")
-        number = F.monotonically_increasing_id()
-        edge = F.concat(F.lit('<edge id="'), number.cast("string"), F.lit('" source="'), gid("src_category", "src"), F.lit('" target="'), gid("dst_category", "dst"), F.lit('" type="directed" weight="'), F.format_string("%.6f", F.col("weight").cast("double")), F.lit('"></edge>'))
+        src, dst = gid("src_category", "src"), gid("dst_category", "dst")
+        edge = F.concat(F.lit('<edge id="'), src, F.lit("--"), dst, F.lit('" source="'), src, F.lit('" target="'), dst, F.lit('" type="directed" weight="'), F.format_string("%.6f", F.col("weight").cast("double")), F.lit('"></edge>'))
         out = out.unionByName(kept.select(F.lit(3).alias("part"), edge.alias("value")))
     return out
 

@@ -148,7 +148,7 @@ def text_records(spark: SparkSession, path: str | list[str], encoding: str = "UT
         for f in frames[1:]:
             chunks = chunks.unionByName(f)
     clean = F.regexp_replace(F.replace(F.make_valid_utf8("value"), F.lit("\ufffd"), F.lit("")), "\r\n?", "\n")
-    return chunks.select(F.explode(F.split(clean, r"\n[ \t]*\n")).alias("value")).where(F.trim("value") != "")
+    return chunks.select(F.explode(F.split(clean, r"\n[ \t]{0,5}\n")).alias("value")).where(F.trim("value") != "")
 
 
 def medline(spark: SparkSession, path: str | list[str], period_size: int = 4, encoding: str = "UTF-8") -> DataFrame:
