@@ -6,11 +6,16 @@ of a text in each range is a prefix token. Candidates must share the prefix toke
 six filters are intersected in one join key, so pairs that pass fewer of them are never made. A further pair of
 orders gives a sketch of 128 bits that candidates must agree on before they are verified on their whole texts.
 
-Full-length prefixes under the order of rarity would admit every pair here without loss, but were not selective: the
-runs come from few syllables and stand in a thousandth of all records each, so a prefix of 0.3 of a text's runs
-meets almost every record. With prefix tokens of one run per range, a pair of similarity s is missed with
+Full-length prefixes under the order of rarity admit every pair without loss, but are not selective on the test tables:
+the runs come from few syllables and stand in a thousandth of all records each, so a prefix of 0.3 of a text's runs
+meets almost every record. By default prefixes are therefore one run per range. Then a pair of similarity s is missed with
 probability (1 - s^6)^64: 3e-4 at 0.7, 4e-6 at 0.75, 3e-9 at 0.8 (plus 1e-5 for the sketch at 0.7).
 
+With ``exact`` no pair is missed: candidates share a run among their prefixes of full length under the order of rarity
+(at least 1 - threshold of a text's runs, rarest first), pass the filters of length and of place in the prefix, and
+share a run of their prefixes under each of the other orders too; those that pass all filters are verified. Its cost
+follows how often the rarer runs of texts repeat; texts of a frequent run meet in blocks, two blocks to a task.
+
 Copies are folded by a 64-bit hash of the normalised text before pairing. A bucket of up to 65 texts gives all its
 pairs. In a larger one each text meets the 64 next to it; then every text outside the bucket's largest component meets
 the whole bucket, which covers all pairs that could still join two components. Links are counted on demand: a group that
@@ -26,8 +31,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiweave.llm.components import components
@@ -213,8 +219,6 @@ def _pair_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verify(x, y):
-    import pandas as pd
-
     return pd.Series([similarity(a, b) for a, b in zip(x, y)], dtype="float64")
 
 
@@ -296,40 +300,112 @@ def _exact_degrees(members: DataFrame, texts: DataFrame, threshold: float) -> Da
     return done
 
 
-def near_duplicate_groups(records: DataFrame, threshold: float = THRESHOLD, count_links: bool = True) -> DataFrame:
+#: Texts of a run that meet in one task in the exact mode; the texts of a more frequent run are cut into blocks.
+BLOCK_NODES = 2000
+
+
+def _run_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node, size and run for each run of each text."""
+    for b in batches:
+        for i, j, texts in _chunks(b, 1):
+            sets = [run_set(t) for t in texts]
+            n = [len(s) for s in sets]
+            node = b.column(0).to_numpy()[i:j]
+            runs = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
+            yield pa.record_batch([pa.array(np.repeat(node, n)), pa.array(np.repeat(n, n).astype(np.int32)), pa.array(runs)], names=["node", "size", "run"])
+
+
+def _prefixes(runs: np.ndarray, threshold: float) -> list[np.ndarray]:
+    """The prefix of full length of a set of runs under each order by hash."""
+    n = len(runs) - int(np.ceil(threshold * len(runs) - 1e-9)) + 1
+    out = []
+    for k in range(ORDERS - 1):
+        x = (runs ^ _U(0xA24BAED4963EE407 * (2 * k + 1) & 0xFFFFFFFFFFFFFFFF)) * _MIX
+        x ^= x >> _U(31)
+        out.append(runs[np.argpartition(x, n - 1)[:n]] if n < len(runs) else runs)
+    return out
+
+
+def exact_similarity(x: str, y: str, threshold: float) -> float:
+    """``similarity`` of texts that pass all filters, 0 for those that share no run of their prefixes under some order."""
+    a, b = run_set(x), run_set(y)
+    if not len(a) or not len(b):
+        return float(x == y)
+    for p, q in zip(_prefixes(a, threshold), _prefixes(b, threshold)):
+        if not len(np.intersect1d(p, q, assume_unique=True)):
+            return 0.0
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both)
+
+
+def exact_links(texts: DataFrame, threshold: float) -> DataFrame:
+    """a < b, similarity: all pairs of nodes (node, text) that are alike; written to the shared folder."""
+    own = materialise(texts.groupBy("node").agg(F.first("text").alias("text")))
+    runs = own.mapInArrow(_run_rows, "node long, size int, run long")
+    often = materialise(runs.groupBy("run").agg(F.count("*").alias("df")))
+    # Places in the prefix count the runs of one text alone as well; only runs of several texts can meet.
+    place = F.row_number().over(Window.partitionBy("node").orderBy("df", "run"))
+    length = F.col("size") - F.ceil(F.col("size") * threshold - 1e-9).cast("int") + 1
+    prefix = runs.join(often, "run").withColumn("at", place).where(F.col("at") <= length).where("df > 1")
+    blocks = F.ceil(F.col("df") / BLOCK_NODES).cast("int")
+    prefix = materialise(prefix.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("blocks", blocks))
+    side = lambda n, u, v, spread: prefix.select("run", F.col("node").alias(n), F.col("size").alias(f"s{n}"), F.col("at").alias(f"p{n}"), F.col("own").alias(u), F.explode(spread).alias(v))
+    met = side("a", "u", "v", F.sequence("own", F.col("blocks") - 1)).join(side("b", "v", "u", F.sequence(F.lit(0), F.col("own"))), ["run", "u", "v"])
+    met = met.where((F.col("a") < F.col("b")) | ((F.col("u") < F.col("v")) & (F.col("a") > F.col("b"))))
+    need = F.ceil((F.col("sa") + F.col("sb")) * (threshold / (1 + threshold)) - 1e-9)
+    fits = (F.least("sa", "sb") >= F.greatest("sa", "sb") * threshold - 1e-9) & (1 + F.least(F.col("sa") - F.col("pa"), F.col("sb") - F.col("pb")) >= need)
+    # The places are counted by one order, so what is left after the first common run bounds the overlap.
+    first = met.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min_by(fits, F.col("pa") + F.col("pb")).alias("fits")).where("fits").select("a", "b")
+    end = lambda c: own.select(F.col("node").alias(c), F.col("text").alias(f"t{c}"))
+    alike = F.pandas_udf(lambda x, y: pd.Series([exact_similarity(p, q, threshold) for p, q in zip(x, y)], dtype="float64"), "double")
+    done = materialise(first.join(end("a"), "a").join(end("b"), "b").select("a", "b", alike("ta", "tb").alias("similarity")).where(F.col("similarity") >= threshold))
+    for df in (own, often, prefix):
+        release(df)
+    return done
+
+
+def near_duplicate_groups(records: DataFrame, threshold: float = THRESHOLD, count_links: bool = True, exact: bool = False) -> DataFrame:
     """rec_id, group_id (smallest rec_id of the group) and, if asked for, n_links for each record (rec_id, title, abstract).
 
-    ``n_links`` counts the different texts that the record's text is alike to; its copies are not among them.
+    ``n_links`` counts the different texts that the record's text is alike to; its copies are not among them. With
+    ``exact`` no pair is missed, at a cost that depends on the texts.
     """
     texts = records.where(not_blank(F.col("abstract"))).select(F.col("rec_id").cast("long").alias("rec_id"), normalised(F.col("title"), F.col("abstract")).alias("text")).select("rec_id", F.xxhash64("text").alias("node"), "text")
-    marks = materialise(texts.mapInArrow(_sketch_rows, "rec_id long, node long, s1 long, s2 long"))
-    bands = texts.select("node", "text").mapInArrow(_band_rows, "key long, node long")
-    found = materialise(bands.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_pair_rows, "a long, b long, hot boolean").distinct())
-    links = _links(found.where("not hot").select("a", "b"), marks, texts, threshold)
-    labels = materialise(components(links))
-    large = found.where("hot").select(F.col("a").alias("node"), F.col("b").alias("key"))
-    exact = None
-    if large.limit(1).count():
-        part = large.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        most = part.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("most"))
-        rest = part.join(most, "key").where("label <> most").select("key", F.col("node").alias("x"), F.col("label").alias("lx"))
-        across = rest.join(part.select("key", F.col("node").alias("y"), F.col("label").alias("ly")), "key").where("lx <> ly")
-        more = _links(across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), marks, texts, threshold)
-        links = materialise(links.unionByName(more).dropDuplicates(["a", "b"]))
+    texts = materialise(texts)
+    marks, crowd = texts, None
+    if exact:
+        links = exact_links(texts.select("node", "text"), threshold)
+        labels = materialise(components(links))
+    else:
+        marks = materialise(texts.mapInArrow(_sketch_rows, "rec_id long, node long, s1 long, s2 long"))
+        bands = texts.select("node", "text").mapInArrow(_band_rows, "key long, node long")
+        found = materialise(bands.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_pair_rows, "a long, b long, hot boolean").distinct())
+        links = _links(found.where("not hot").select("a", "b"), marks, texts, threshold)
         labels = materialise(components(links))
-        if count_links:
-            # Not all pairs within the components of a large bucket were made.
-            crowded = large.select("node").distinct().join(labels, "node").select("label").distinct()
-            exact = _exact_degrees(labels.join(crowded, "label", "left_semi").select("node", "label"), texts, threshold)
-    release(found)
-    own = marks.select("rec_id", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        large = found.where("hot").select(F.col("a").alias("node"), F.col("b").alias("key"))
+        if large.limit(1).count():
+            part = large.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+            most = part.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("most"))
+            rest = part.join(most, "key").where("label <> most").select("key", F.col("node").alias("x"), F.col("label").alias("lx"))
+            across = rest.join(part.select("key", F.col("node").alias("y"), F.col("label").alias("ly")), "key").where("lx <> ly")
+            more = _links(across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), marks, texts, threshold)
+            links = materialise(links.unionByName(more).dropDuplicates(["a", "b"]))
+            labels = materialise(components(links))
+            if count_links:
+                # Not all pairs within the components of a large bucket were made.
+                crowded = large.select("node").distinct().join(labels, "node").select("label").distinct()
+                crowd = _exact_degrees(labels.join(crowded, "label", "left_semi").select("node", "label"), texts, threshold)
+        release(found)
+    own = materialise(marks.select("rec_id", "node"))
+    release(texts)
+    own = own.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     group = own.groupBy("label").agg(F.min("rec_id").alias("group_id"))
     own = own.join(group, "label")
     if not count_links:
         return own.select("rec_id", "group_id")
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    if exact is not None:
-        degree = degree.join(exact.select("node"), "node", "left_anti").unionByName(exact)
+    if crowd is not None:
+        degree = degree.join(crowd.select("node"), "node", "left_anti").unionByName(crowd)
     return own.join(degree, "node", "left").select("rec_id", "group_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 

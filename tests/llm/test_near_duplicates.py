@@ -62,6 +62,20 @@ def test_same_groups_as_brute_force(spark, seed):
     assert pairs == {(a, b) for a in g for b in g if a < b and g[a] == g[b]}
 
 
+def test_exact_mode_finds_every_link(spark, monkeypatch):
+    monkeypatch.setattr(nd, "BLOCK_NODES", 25)
+    rows = collection(200, 3) + [(9001, None, None, "x"), (9003, None, "ab", "x"), (9004, "", "ab", "x"), (9005, None, "ac", "x")]
+    rows += [(9100 + i, None, " ".join(f"word{k:03d}" for k in range(60) if k != i % 60) + f" end{i}", "x") for i in range(100)]
+    got = nd.near_duplicate_groups(spark.createDataFrame(rows, SCHEMA), exact=True).collect()
+    assert {r.rec_id: r.group_id for r in got} == brute(rows)
+    import re
+
+    texts = {r[0]: re.sub(r"\s+", " ", f"{r[1] or ''} {r[2]}".lower()) for r in rows if r[2] and r[2].strip()}
+    want = {i: len({u for u in texts.values() if u != t and nd.similarity(t, u) >= nd.THRESHOLD}) for i, t in texts.items()}
+    assert {r.rec_id: r.n_links for r in got} == want and max(want.values()) >= 99
+    assert nd.near_duplicate_groups(spark.createDataFrame([], SCHEMA), exact=True).count() == 0
+
+
 def test_empty_and_repeated(spark):
     assert nd.near_duplicate_groups(spark.createDataFrame([], SCHEMA)).count() == 0
     rows = [(i, "Same", "the very same text again", "x") for i in range(300)]
