@@ -27,8 +27,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Texts taken from the queue at most for one passage, and operations in a row.
-EXPANSIONS, DEPTH = 24, 3
+#: Texts taken from the queue at most for one passage, operations in a row, and how much dearer than the text it came
+#: from a text may be to enter the queue. None of them as None: the search then ends when no new text is reached.
+EXPANSIONS, DEPTH, UPHILL = 24, 3, 5.0
 #: A restored text must be cheaper by so much.
 GAIN = 1.4
 
@@ -114,6 +115,7 @@ _EVENTS: list[tuple[str, float]] = [
     (f"(?<=[{_LOW}{_UP}])[{_SIGN}«»¿¡„“‚]+(?=[{_LOW}{_UP}])", 3.0),
     (f"(?<![\\d.,])[{_SIGN}]+(?=[{_LOW}{_UP}])(?!(?<=µ)[gmlsA-Z])(?!(?<=[€£¥$§©])[A-Z])(?!(?<=°)[CFK])", 2.0),
     ("(?<=[ÂÃâĂÅ])[^\\sA-Za-z\\d.,;:!?)]", 3.0),
+    ("(?<![A-ZÀ-Þ])[ÂÃĂ]\xa0", 3.0),
     ("[‚ƒ†‡ˆ‰‹›Ÿ˜¤¦¨¬¯´¸¼½¾þ³¹Þ╗└┬├٠-٩۰-۹]", 1.0),
     (f"[ªº]+(?=[\\s.,;])(?<=[{_LOW}]\\S)", 1.0),
     (_MIXED, 3.0),
@@ -134,6 +136,8 @@ _LETTERISH = re.compile("[^\x00-\x7f֐-ۿऀ-෿฀-๿Ѐ-ӿ　-ヿ一-鿿가-
 
 
 _RUN = re.compile("[^\x00-\x7f]+")
+# A text that begins with a small letter of its own before a word in capitals: the cases of Cyrillic letters are swapped.
+_SWAPPED = re.compile("[а-яё] [А-ЯЁ]{2,}")
 # Runs of one script that hold no doubt whatever stands beside them, but for small Latin letters.
 _PLAIN = re.compile(f"[А-ЯЁ]?[а-яё]+|[А-ЯЁ]+|[ऀ-ॿ]+|[฀-๿]+|[؀-ٟ٪-ۯۺ-ۿ]+|(?:(?!{_RARE_HAN})[、-〟ぁ-ゖゝ-ヿ一-鿿！-～])+")
 _BESIDE = re.compile("[A-Za-z]")
@@ -157,6 +161,8 @@ def _costs(text: str) -> tuple[float, float]:
         base += b
     if _escaped(text):
         doubts += 3.0 * len(_ESCAPE.findall(text))
+    if _SWAPPED.match(text):
+        doubts += 6.0
     return doubts, base
 
 
@@ -244,17 +250,21 @@ OPERATIONS = _operations()
 _BY_NAME = {name: op for name, _, op in OPERATIONS}
 
 
-def search(text: str) -> tuple[str, float, float, tuple[str, ...]]:
-    """The cheapest text that operations reach, its cost, the cost of ``text``, and the operations."""
+def search(text: str, expansions: int | None = -1, depth: int | None = -1, uphill: float | None = -1) -> tuple[str, float, float, tuple[str, ...]]:
+    """The cheapest text that operations reach, its cost, the cost of ``text``, and the operations.
+
+    The bounds are those of the module unless given (-1); None lifts one.
+    """
+    expansions, depth, uphill = (own if given == -1 else given for given, own in ((expansions, EXPANSIONS), (depth, DEPTH), (uphill, UPHILL)))
     start = cost(text)
     best, best_cost, best_path = text, start, ()
     queue: list[tuple[float, int, str, tuple[str, ...]]] = [(start, 0, text, ())]
     seen, serial = {hash(text)}, 0
-    for _ in range(EXPANSIONS):
-        if not queue:
-            break
+    taken = 0
+    while queue and (expansions is None or taken < expansions):
+        taken += 1
         c, _, state, path = heapq.heappop(queue)
-        if len(path) >= DEPTH:
+        if depth is not None and len(path) >= depth:
             continue
         for name, need, op in OPERATIONS:
             if need and not need.search(state):
@@ -271,7 +281,7 @@ def search(text: str) -> tuple[str, float, float, tuple[str, ...]]:
                 best, best_cost, best_path = new, n, (*path, name)
                 if not doubts:
                     return best, best_cost, start, best_path
-            if n < c + 5:
+            if uphill is None or n < c + uphill:
                 heapq.heappush(queue, (n, serial, new, (*path, name)))
     return best, best_cost, start, best_path
 
@@ -281,16 +291,25 @@ def _reduced(text: str) -> str:
     return "\n".join(text[max(0, m.start() - 2) : m.end() + 2] for m in _RUN.finditer(text))
 
 
-def _repair(text: str) -> tuple[str, bool]:
-    """The text after the best operations, where they gain enough, and whether doubts are left."""
+def _best(text: str) -> tuple[str, float, float, tuple[str, ...]]:
+    """``search``; in a text with few characters beyond ASCII on those and what stands beside them.
+
+    What was found there is priced on the whole text; if that leaves doubts or gains less, the whole text is searched.
+    """
     if len(text) > 200 and 5 * sum(map(len, _RUN.findall(text))) < len(text) and not _escaped(text):
-        # Find the operations on what they change, then apply them to all.
-        _, new, old, path = search(_reduced(text))
+        path = search(_reduced(text))[3]
         best = text
         for name in path:
             best = _BY_NAME[name](best)
-    else:
-        best, new, old, _ = search(text)
+        doubts, base = _costs(best)
+        if path and not doubts:
+            return best, doubts + base + 0.5 * len(path), cost(text), path
+    return search(text)
+
+
+def _repair(text: str) -> tuple[str, bool]:
+    """The text after the best operations, where they gain enough, and whether doubts are left."""
+    best, new, old, _ = _best(text)
     if old - new < GAIN:
         return text, True
     return best, _costs(best)[0] > 0
@@ -406,8 +425,7 @@ def _by_length(text: str, new: str) -> list[int]:
 
 
 def _repair_aligned(text: str) -> tuple[str, list[int] | None]:
-    reduced = len(text) > 200 and 5 * sum(map(len, _RUN.findall(text))) < len(text) and not _escaped(text)
-    best, new, old, path = search(_reduced(text) if reduced else text)
+    _, new, old, path = _best(text)
     if old - new < GAIN:
         return text, None
     places = list(range(len(text) + 1))

@@ -73,6 +73,19 @@ def test_double_and_partial_and_lost():
     assert g.restore(long)[1].endswith("café")
 
 
+def test_lone_letters():
+    assert g.restore("Vers un indicateur utile Ã\xa0 galmuro") == (True, "Vers un indicateur utile à galmuro")
+    assert g.restore(spoil("О том, как объект изменяет архив", "koi8_r", "cp1251")) == (True, "О том, как объект изменяет архив")
+    for plain in ("AMANHÃ\xa0: O FIM", "ИССЛЕДОВАНИЕ МЕТОДА", "В США и Канаде"):
+        assert g.restore(plain) == (False, plain)
+
+
+def test_bounds_of_the_search_can_be_lifted():
+    bad = spoil(spoil("Il a échoué, déjà.", "utf-8", "cp1252"), "utf-8", "cp1252")
+    assert g.search(bad, None, 4, None)[0] == g.search(bad)[0] == "Il a échoué, déjà."
+    assert g.search(bad, 0)[0] == bad
+
+
 def test_find_garbled(spark):
     df = spark.createDataFrame([(1, None, "cafÃ©", "x"), (2, "", "café", "x"), (1, "Ã©tude", None, "x")], "rec_id long, title string, abstract string, text string")
     assert sorted((r.rec_id, r.field_name, r.restored) for r in g.find_garbled(df, "rec_id", ["title", "abstract"]).collect()) == [(1, "abstract", "café"), (1, "title", "étude")]
