@@ -23,11 +23,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.csv as pcsv
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 COLUMNS = ["corp_id", "doc_id", "title", "acronym", "abstract", "doc_index_1", "doc_index_2", "doc_date", "doc_keywords"]
 #: Records that are parsed together have about so many bytes.
 BLOCK_BYTES = 16 << 20
 LETTERS = 20
+#: Periods are sent to each task up to about this size.
+PERIOD_BYTES = 32 << 20
 
 _FIELD = r'(?:[^",]*|"(?:[^"]|"")*")'
 _STRICT = re.compile(rf"{_FIELD}(?:,{_FIELD})*", re.S)
@@ -52,20 +55,20 @@ def split_record(line: str) -> list[str] | None:
             return [*out, ""]
 
 
-def diagnose(line: str | None, corpora: frozenset[str]) -> tuple[str | None, list[str] | None]:
-    """The first reason that a record isn't valid, and its fields if it is."""
+def diagnose(line: str | None, corpora: frozenset[str] | None) -> tuple[str | None, list[str] | None]:
+    """The first reason that a record isn't valid, and its fields if it has nine; ``corpora`` None: periods aren't looked at."""
     fields = split_record(line or "")
     if fields is None:
         return "quoting", None
     if len(fields) != len(COLUMNS):
         return "column_count", None
-    if fields[0] not in corpora:
-        return "corp_id", None
+    if corpora is not None and fields[0] not in corpora:
+        return "corp_id", fields
     if not _DOC_ID.fullmatch(fields[1]):
-        return "doc_id", None
+        return "doc_id", fields
     text = fields[4]
     if "\0" in text or "�" in text or sum(map(str.isalpha, text)) < LETTERS:
-        return "abstract", None
+        return "abstract", fields
     return None, fields
 
 
@@ -116,9 +119,11 @@ def parse_block(lines: pa.Array) -> Iterator[tuple[int, pa.Table | None]]:
     yield from parse_block(lines[half:])
 
 
-def _fine(table: pa.Table, corpora: pa.Array) -> np.ndarray:
+def _fine(table: pa.Table, corpora: pa.Array | None) -> np.ndarray:
     """Whether each parsed record has valid values."""
-    fine = pc.and_(pc.is_in(table["corp_id"], corpora), pc.match_substring_regex(table["doc_id"], r"^(?:[1-9][0-9]{0,9}|0)$"))
+    fine = pc.match_substring_regex(table["doc_id"], r"^(?:[1-9][0-9]{0,9}|0)$")
+    if corpora is not None:
+        fine = pc.and_(pc.is_in(table["corp_id"], corpora), fine)
     fine = pc.and_(fine, pc.invert(pc.match_substring_regex(table["abstract"], r"[\x00\x{FFFD}]")))
     fine = fine.to_numpy(zero_copy_only=False) if isinstance(fine, pa.Array) else fine.combine_chunks().to_numpy(zero_copy_only=False)
     # Letters of the Latin alphabet are looked for at once; where they don't suffice, those of any script are counted.
@@ -128,8 +133,11 @@ def _fine(table: pa.Table, corpora: pa.Array) -> np.ndarray:
     return out
 
 
-def _parse_lines(ids: pa.Array, lines: pa.Array, known: frozenset[str], corpora: pa.Array) -> Iterator[tuple[pa.Array, pa.Array | None, pa.Table | None]]:
-    """Pieces of a block: (ids, None, columns) of records that are valid, or (ids, reasons, None) of ones that aren't."""
+def _parse_lines(ids: pa.Array, lines: pa.Array, known: frozenset[str] | None, corpora: pa.Array | None) -> Iterator[tuple[pa.Array, pa.Array | None, pa.Table | None]]:
+    """Pieces of a block: (ids, None, columns) of records that are valid, or (ids, reasons, None) of ones that aren't.
+
+    Without periods, the columns of one that isn't valid have its period, if it has nine fields.
+    """
     # One look at the whole block: nine fields, each bare or quoted from end to end. A bare line break at the end of a
     # record would give the reader a row too many only after the next one, so such records go alone as well.
     shaped = pc.and_(pc.match_substring_regex(lines, _NINE_RE2), pc.invert(pc.match_substring_regex(lines, r"[\r\n]\z")))
@@ -148,21 +156,27 @@ def _parse_lines(ids: pa.Array, lines: pa.Array, known: frozenset[str], corpora:
     told = [diagnose(line, known) for line in lines.take(pa.array(left)).to_pylist()]
     bad = [k for k, (reason, _) in enumerate(told) if reason]
     if bad:
-        yield ids.take(pa.array(left[bad])), pa.array([told[k][0] for k in bad], pa.string()), None
+        period = None
+        if known is None:
+            cells = [told[k][1][0] if told[k][1] else None for k in bad]
+            period = pa.table([pa.array(cells, pa.string()), *[pa.nulls(len(bad), pa.string())] * (len(COLUMNS) - 1)], names=COLUMNS)
+        yield ids.take(pa.array(left[bad])), pa.array([told[k][0] for k in bad], pa.string()), period
     odd = [k for k, (reason, _) in enumerate(told) if not reason]
     if odd:
         yield ids.take(pa.array(left[odd])), None, pa.table([pa.array(c, pa.string()) for c in zip(*(told[k][1] for k in odd))], names=COLUMNS)
 
 
-def load_records(raw: DataFrame, corpora: DataFrame, id_col: str = "raw_id", line_col: str = "line") -> DataFrame:
+def load_records(raw: DataFrame, corpora: DataFrame, id_col: str = "raw_id", line_col: str = "line", most_bytes: int = PERIOD_BYTES) -> DataFrame:
     """Every record with ``reason`` null and its columns set, or with a reason and null columns.
 
-    The known periods are a fixed list; more than 100,000 of them raise an error, as they are sent to each task.
+    The known periods are sent to each task up to ``most_bytes``; beyond that they are joined by shuffle.
     """
-    names = [r[0] for r in corpora.select("corp_id").where("corp_id is not null").distinct().limit(100_001).collect()]
-    if len(names) > 100_000:
-        raise ValueError("more periods than can be sent to each task; join them instead")
-    known, array = frozenset(names), pa.array(names, pa.string())
+    periods = corpora.select("corp_id").where("corp_id is not null").distinct()
+    size = periods.agg(F.coalesce(F.sum(F.octet_length("corp_id") + 64), F.lit(0))).first()[0]
+    known = array = None
+    if size <= most_bytes:
+        names = [r[0] for r in periods.collect()]
+        known, array = frozenset(names), pa.array(names, pa.string())
     schema = f"raw_id long, reason string, {', '.join(f'{c} string' for c in COLUMNS)}"
     arrow = pa.schema([("raw_id", pa.int64()), ("reason", pa.string()), *((c, pa.string()) for c in COLUMNS)])
 
@@ -174,10 +188,17 @@ def load_records(raw: DataFrame, corpora: DataFrame, id_col: str = "raw_id", lin
                     if table is None:
                         cols = [i, reasons, *[pa.nulls(len(i), pa.string())] * len(COLUMNS)]
                     else:
-                        cols = [i, pa.nulls(len(i), pa.string()), *(c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in table.columns)]
+                        cols = [i, pa.nulls(len(i), pa.string()) if reasons is None else reasons, *(c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in table.columns)]
                     yield from pa.table(cols, schema=arrow).to_batches()
 
-    return raw.selectExpr(f"cast({id_col} as long) raw_id", f"{line_col} line").mapInArrow(run, schema)
+    got = raw.selectExpr(f"cast({id_col} as long) raw_id", f"{line_col} line").mapInArrow(run, schema)
+    if known is not None:
+        return got
+    # A period that isn't known comes before the reasons found in other fields.
+    told = got.join(periods.withColumn("there", F.lit(True)), "corp_id", "left")
+    early = F.coalesce("reason", F.lit("")).isin("quoting", "column_count")
+    told = told.withColumn("reason", F.when(~early & F.col("there").isNull(), "corp_id").otherwise(F.col("reason")))
+    return told.select("raw_id", "reason", *(F.when(F.col("reason").isNull(), F.col(c)).alias(c) for c in COLUMNS))
 
 
 def rejects(raw: DataFrame, corpora: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from lexiweave.operators import raw_records as rr
 
 LONG = "Some twenty letters of text at least."
@@ -27,6 +29,7 @@ CASES = [
     (line(corp="zz"), "corp_id"),
     (line(corp=" c1"), "corp_id"),
     (line(corp=""), "corp_id"),
+    (line(corp="zz", doc="012", abstract="x"), "corp_id"),
     (line(doc="012"), "doc_id"),
     (line(doc="12345678901"), "doc_id"),
     (line(doc="1٢"), "doc_id"),
@@ -41,17 +44,19 @@ CASES = [
 ]
 
 
-def test_cases(spark):
+@pytest.mark.parametrize("most_bytes", [rr.PERIOD_BYTES, 0])
+def test_cases(spark, most_bytes):
     rows = [(i, x, "n") for i, (x, _) in enumerate(CASES)] * 2
     random.Random(1).shuffle(rows)
     raw = spark.createDataFrame(rows, "raw_id long, line string, reason string")
     corpora = spark.createDataFrame([("c1",), ("c2",), (None,)], "corp_id string")
-    got = rr.load_records(raw, corpora).collect()
+    got = rr.load_records(raw, corpora, most_bytes=most_bytes).collect()
     assert len(got) == 2 * len(CASES)
     known = frozenset(["c1", "c2"])
     for r in got:
         text, want = CASES[r.raw_id]
         assert r.reason == want, (text or "")[:80]
+        assert want is None or not any(r[c] for c in rr.COLUMNS)
         if want is None:
             assert [r[c] for c in rr.COLUMNS] == rr.diagnose(text, known)[1]
 
