@@ -9,8 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexiweave.functions.text import word_ngrams
 from lexiweave.llm import cooccurrence, garbled, leakage, near_duplicates, packing, sentences, subjects, term_frequency
-from lexiweave.llm.words import LETTERS
+from lexiweave.llm.words import LETTERS, words
 from lexiweave.operators import packed_values
 from lexiweave.store import materialise, read, spread
 
@@ -38,32 +39,47 @@ def p6_term_counts(spark: SparkSession, folder: str) -> DataFrame:
     return _term_counts(spark, folder)
 
 
-def focus_baskets(docs: DataFrame, focus: DataFrame) -> DataFrame:
-    """rec_id and the focus terms whose words follow one another in the abstract.
+#: Focus terms are sent to each task up to about this size, and joined by shuffle beyond.
+TERM_BYTES = 32 << 20
 
-    The terms are a fixed list; more than 100,000 raise an error, as they are sent to each task.
-    """
-    terms = [r[0] for r in focus.select("term").where("term is not null").distinct().limit(100_001).collect()]
-    if len(terms) > 100_000:
-        raise ValueError("more focus terms than can be sent to each task")
+
+def focus_baskets(docs: DataFrame, focus: DataFrame, most_bytes: int = TERM_BYTES) -> DataFrame:
+    """rec_id and the focus terms whose words follow one another in the abstract."""
+    terms = focus.select("term").where("term is not null").distinct()
+    size = terms.agg(F.coalesce(F.sum(F.octet_length("term") + 200), F.lit(0))).first()[0]
+    docs = docs.where("abstract is not null")
+    return _focus_by_table(docs, [r[0] for r in terms.collect()]) if size <= most_bytes else _focus_by_join(docs, terms)
+
+
+def _focus_by_table(docs: DataFrame, terms: list[str]) -> DataFrame:
     word = re.compile(f"[{LETTERS}]+")
     first: dict[str, list[tuple[str, list[str]]]] = {}
     for t in terms:
         if own := word.findall(t):
             first.setdefault(own[0], []).append((t, own))
 
-    def find(text: str | None) -> list[str]:
-        ws = word.findall(text.lower()) if text else ()
+    def find(text: str) -> list[str]:
+        ws = word.findall(text.lower())
         return sorted({t for i, w in enumerate(ws) if w in first for t, own in first[w] if ws[i : i + len(own)] == own})
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
             yield s.map(find)
 
-    got = docs.where("abstract is not null").select("rec_id", F.pandas_udf(run, "array<string>")("abstract").alias("items"))
+    got = docs.select("rec_id", F.pandas_udf(run, "array<string>")("abstract").alias("items"))
     return got.where(F.size("items") > 0)
 
 
+def _focus_by_join(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """The n-grams of each text, of all lengths that terms have, joined with the terms."""
+    keyed = terms.select("term", words(F.col("term")).alias("w")).where(F.size("w") > 0).select("term", F.array_join("w", " ").alias("key"), F.size("w").alias("n"))
+    lengths = [r[0] for r in keyed.select("n").distinct().collect()]
+    own = docs.select("rec_id", words(F.col("abstract")).alias("w"))
+    grams = F.array_distinct(F.flatten(F.array(*(word_ngrams(F.col("w"), n, n) for n in lengths)))) if lengths else F.array().cast("array<string>")
+    hits = own.select("rec_id", F.explode(grams).alias("key")).join(keyed, "key")
+    return hits.groupBy("rec_id").agg(F.sort_array(F.collect_set("term")).alias("items"))
+
+
 def _pair_table(spark: SparkSession, folder: str) -> cooccurrence.PairTable:
     """The table of all records, merged in two deliveries: the first half of the ids, then the rest.
 

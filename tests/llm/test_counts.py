@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexiweave.llm import cooccurrence as co
 from lexiweave.llm import term_frequency as tf
-from lexiweave.llm.queries import focus_baskets
+from lexiweave.llm.queries import TERM_BYTES, focus_baskets
 from lexiweave.llm.words import LETTERS
 
 
@@ -120,6 +120,7 @@ def test_long_basket_and_thresholds(spark):
 def test_focus_terms(spark):
     docs = spark.createDataFrame([(1, "The Night-market; night owl"), (2, None), (3, "nightmarket"), (4, "NIGHT\nmarket night market")], "rec_id long, abstract string")
     focus = spark.createDataFrame([("night market",), ("owl",), (None,)], "term string")
-    assert {r.rec_id: r["items"] for r in focus_baskets(docs, focus).collect()} == {1: ["night market", "owl"], 4: ["night market"]}
+    for size in (TERM_BYTES, 0):
+        assert {r.rec_id: r["items"] for r in focus_baskets(docs, focus, size).collect()} == {1: ["night market", "owl"], 4: ["night market"]}
     assert focus_baskets(docs, focus.limit(0)).count() == 0
     assert focus_baskets(docs.where(F.lit(False)), focus).count() == 0
