@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexiweave.functions import tagging
 from lexiweave.operators.index import small
 from lexiweave.store import materialise
 
@@ -48,12 +49,15 @@ def period_maxima(df: DataFrame, sizes: DataFrame, key: str, length: Column) ->
 def whitelist_report(forms: DataFrame, sizes: DataFrame, min_occurrences: int = 1, status: str = "") -> DataFrame:
     """One row per n-gram with the report's columns in snake case, but for the list of documents.
 
-    ``forms``: corpus_id, doc_id, ngram_id, form, postag (array) and, if the n-grams of a document are told apart
-    already, ``first``: 1 for one form of each n-gram in a document, else 0; ``sizes``: corpus_id, docs. "Total" is the
-    sum of document frequencies. Lists are sorted. The forms of an n-gram have the same number of words.
+    ``forms``: corpus_id, doc_id, ngram_id, form and, if they aren't those of the rule tagger, postag (array); if the
+    n-grams of a document are told apart already, also ``first``: 1 for one form of each n-gram in a document, else 0;
+    ``sizes``: corpus_id, docs. "Total" is the sum of document frequencies. Lists are sorted. The forms of an n-gram have
+    the same number of words.
     """
+    tagged = "postag" in forms.columns
+    head = F.struct("form", F.array_join("postag", ",").alias("postag")) if tagged else F.struct("form")
     df = F.sum("first") if "first" in forms.columns else F.count_distinct("doc_id")
-    of = forms.groupBy("ngram_id", "corpus_id").agg(df.alias("df"), F.max_by(F.struct("form", F.array_join("postag", ",").alias("postag")), "form").alias("head"), F.collect_set("form").alias("forms"))
+    of = forms.groupBy("ngram_id", "corpus_id").agg(df.alias("df"), F.max(head).alias("head"), F.collect_set("form").alias("forms"))
     of = of.join(small(sizes), "corpus_id", "left").withColumn("length", F.size(F.split("head.form", " ")))
     ratio = F.when(F.col("docs") > 0, F.col("df") / F.col("docs"))
     ratio_n = F.when(F.col("docs") > 0, F.pow(F.col("df").cast("double"), F.col("length")) / F.col("docs"))
@@ -70,7 +74,9 @@ def whitelist_report(forms: DataFrame, sizes: DataFrame, min_occurrences: int =
         _joined("corpus_id").alias("periods"),
     )
     out = out.where(F.col("total") >= min_occurrences).withColumn("length", F.size(F.split("head.form", " ")))
-    return out.select("ngram_id", F.lit(status).alias("status"), F.col("head.form").alias("label"), "head.postag", "total", "forms", "length", F.pow(F.col("total").cast("double"), "length").alias("total_n"), "max_occs", "max_period", "max_occs_n", "max_period_n", "periods")
+    # Tags of the rules are made for labels only, not for each n-gram of each document.
+    postag = F.col("head.postag") if tagged else F.array_join(F.transform(F.split("head.form", " "), tagging.tag), ",")
+    return out.select("ngram_id", F.lit(status).alias("status"), F.col("head.form").alias("label"), postag.alias("postag"), "total", "forms", "length", F.pow(F.col("total").cast("double"), "length").alias("total_n"), "max_occs", "max_period", "max_occs_n", "max_period_n", "periods")
 
 
 def report_documents(forms: DataFrame, report: DataFrame) -> DataFrame:

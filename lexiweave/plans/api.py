@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiweave.config import DOCUMENT_GRAPH, NGRAM_GRAPH, Extraction, GraphConfig
-from lexiweave.functions import tagging
 from lexiweave.functions import text as tx
 from lexiweave.functions.stemming import vocabulary_stems
 from lexiweave.operators import graph, index, mutate, report, search
@@ -116,7 +115,7 @@ class Engine:
     def master_whitelist(self, name: str) -> DataFrame:
         """The whitelist report of what a data set holds, accepted as a whole: one row for each n-gram."""
         data = self.dataset(name)
-        forms = data.read("doc_form").withColumn("postag", F.transform(F.split("form", " "), tagging.tag))
+        forms = data.read("doc_form")
         sizes = data.read("documents").groupBy("corpus_id").agg(F.count_distinct("doc_id").alias("docs"))
         return report.whitelist_report(forms, sizes, status="w")
 
