@@ -47,38 +47,40 @@ ROUNDS = 3
 _MASK = (1 << BITS) - 1
 _SPLIT = re.compile(r"(?<=[.!?])[”»)\"“]*\s+(?=[“«„(¿¡\"‘]*[A-ZÀ-Þ])|\n+")
 _WORD = re.compile(r"[^\W\d_]{2,}")
-_hashes: dict[str, tuple[int, int]] = {}
+_hashes: dict[str, int] = {}
 
 
-def _hashed(word: str) -> tuple[int, int]:
-    """Features of a word: itself, and its first letters without accents."""
-    got = _hashes.get(word)
-    if got is None:
-        if len(_hashes) > 500_000:
-            _hashes.clear()
-        stem = word if word.isascii() else "".join(c for c in unicodedata.normalize("NFD", word) if not unicodedata.combining(c))
-        got = _hashes[word] = tuple(zlib.crc32(x.encode("utf-8", "replace")) * 0x9E3779B97F4A7C15 >> 64 - BITS & _MASK for x in (word, "^" + stem[:STEM]))
+def _hashed(word: str) -> int:
+    """Features of a word: itself in the lower bits, and above them its first letters without accents."""
+    if len(_hashes) > 500_000:
+        _hashes.clear()
+    stem = word if word.isascii() else "".join(c for c in unicodedata.normalize("NFD", word) if not unicodedata.combining(c))
+    own, head = (zlib.crc32(x.encode("utf-8", "replace")) * 0x9E3779B97F4A7C15 >> 64 - BITS & _MASK for x in (word, "^" + stem[:STEM]))
+    got = _hashes[word] = own | head << BITS
     return got
 
 
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashed features, the first feature of each sentence, and the document of each sentence that has words."""
     flat: list[int] = []
-    starts: list[int] = []
+    sizes: list[int] = []
     docs: list[int] = []
+    get = _hashes.get
     for d, text in enumerate(texts):
         for s in _SPLIT.split(text):
             if ws := _WORD.findall(s.lower()):
-                starts.append(len(flat))
+                flat += [get(w) or _hashed(w) for w in ws]
+                sizes.append(len(ws))
                 docs.append(d)
-                last = None
-                for w in ws:
-                    own = _hashed(w)
-                    flat += own
-                    if last is not None:
-                        flat.append((last * 0x9E3779B1 + own[0] >> 5 & _MASK) + (1 << BITS))
-                    last = own[0]
-    return np.array(flat, np.int64), np.array(starts, np.int64), np.array(docs, np.int64)
+    packed = np.array(flat, np.int64)
+    own, head = packed & _MASK, packed >> BITS
+    at = np.repeat(np.arange(len(sizes)), sizes)
+    beside = at[1:] == at[:-1]
+    pairs = ((own[:-1] * 0x9E3779B1 + own[1:] >> 5 & _MASK) + (1 << BITS))[beside]
+    place = np.concatenate([at, at, at[1:][beside]])
+    order = np.argsort(place, kind="stable")
+    start = np.concatenate([[0], np.cumsum(np.bincount(place, minlength=len(sizes)))[:-1]]) if sizes else np.zeros(0)
+    return np.concatenate([own, head, pairs])[order], start.astype(np.int64), np.array(docs, np.int64)
 
 
 def _only(kept: np.ndarray, idx: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
