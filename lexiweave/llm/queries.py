@@ -109,6 +109,15 @@ def p3_pair_scores(spark: SparkSession, folder: str) -> DataFrame:
     return _pair_table(spark, folder).scores()
 
 
+def p3_focus_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """All pairs of focus terms in abstracts, with their counts and lift."""
+    docs = spread(read(spark, folder, "tinacsv_docs").select("rec_id", "abstract"))
+    focus = focus_baskets(docs, read(spark, folder, "focus_terms")).select(F.lit("abstract").alias("field_name"), "items")
+    table = cooccurrence.PairTable(spark)
+    table.apply(focus, records=docs.agg(F.count("*").alias("n")).select(F.lit("abstract").alias("field_name"), "n"))
+    return table.scores().drop("field_name").withColumn("lift", F.round("lift", 6))
+
+
 def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates.near_duplicate_groups(_docs(spark, folder))
 
@@ -188,7 +197,13 @@ def _windows(table: str, key: str) -> str:
         FROM (SELECT {key}, regexp_extract_all(strip_accents(lower(text)), '[a-z0-9]+') AS w FROM {table}) WHERE len(w) > 11)"""
 
 
+_FOCUS_WORDS = "array_to_string(regexp_extract_all(lower({c}), '[a-zß-öø-ÿ]+'), ' ')"
+
 ORACLE = {
+    "p3_focus_scores": f"""WITH f AS (SELECT DISTINCT term, {_FOCUS_WORDS.format(c='term')} AS k FROM focus_terms WHERE term IS NOT NULL), d AS (SELECT rec_id, {_FOCUS_WORDS.format(c='abstract')} AS w FROM tinacsv_docs WHERE abstract IS NOT NULL),
+    b AS (SELECT DISTINCT rec_id, term FROM d JOIN f ON k <> '' AND contains(' ' || w || ' ', ' ' || k || ' ')), i AS (SELECT term, count(*) AS n FROM b GROUP BY ALL), n AS (SELECT count(*) AS n FROM tinacsv_docs),
+    p AS (SELECT x.term AS item_a, y.term AS item_b, count(*) AS n_ab FROM b x JOIN b y ON x.rec_id = y.rec_id AND x.term < y.term GROUP BY ALL)
+    SELECT item_a, item_b, n_ab, u.n AS n_a, v.n AS n_b, n.n AS n_records, round(n.n * n_ab / (u.n * v.n), 6) AS lift FROM p JOIN i u ON item_a = u.term JOIN i v ON item_b = v.term, n""",
     "p6_term_counts": f"SELECT field_name, term, n_occurrences, n_records, CASE WHEN n_records < 3 THEN 'rare' WHEN n_records > 0.2 * r THEN 'common' END AS mark FROM ({_COUNT_SQL})",
     "p9_found": f"SELECT DISTINCT doc_id, item_id FROM ({_windows('documents', 'doc_id')}) AS d JOIN ({_windows('eval_items', 'item_id')}) AS e USING (win)",
     "p6_found": f"SELECT field_name, term, CASE WHEN n < 3 THEN 'rare' ELSE 'common' END AS mark FROM ({_TERM_SQL}) WHERE n < 3 OR n > 0.2 * r",
@@ -199,6 +214,7 @@ QUERIES = {
     "p1_groups": p1_groups,
     "p3_found": p3_found,
     "p3_pair_scores": p3_pair_scores,
+    "p3_focus_scores": p3_focus_scores,
     "p4_found": p4_found,
     "p6_found": p6_found,
     "p7_found": p7_found,
