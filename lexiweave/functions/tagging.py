@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column
@@ -45,6 +46,16 @@ def tag(token: Column) -> Column:
     return out.otherwise("?")
 
 
+# Java's dot takes no line end of any kind, and its dollar stands before one at the end too.
+_LINE_ENDS = "\n\r\u0085\u2028\u2029"
+_WORD_RULES = [(re.compile(p.replace(".*", f"[^{_LINE_ENDS}]*").replace("(.[", f"([^{_LINE_ENDS}][").replace("$", f"(?=(?:\r\n|[{_LINE_ENDS}])?\\Z)")), name) for p, name in WORD_PATTERNS]
+
+
+def tag_word(word: str) -> str:
+    """``tag`` of one word."""
+    return next((name for rule, name in _WORD_RULES if rule.search(word)), "?")
+
+
 def postag_valid(tags: Column, grammar: str = POSTAG_VALID) -> Column:
     return F.concat(F.concat_ws(",", tags), F.lit(",")).rlike(grammar)
 
