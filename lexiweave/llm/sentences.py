@@ -1,8 +1,8 @@
 """Sentence boundaries across languages and scripts, by statistics learnt without supervision.
 
 Pass 1 counts, for each language and word with a period, what follows the period: the end of the text, a capital, a
-small letter, a digit or something else, and how often the word stands without one; and, for short words and numbers,
-which word follows. From these counts log-likelihood ratios give for each language
+small letter, a digit or something else, and which word; and how often the word stands without one, whatever other marks
+touch it. From these counts log-likelihood ratios give for each language
 
 * abbreviations that never end a sentence: the word ends texts less often than words with periods do in general, or
   binds to its period (Dunning's ratio with penalties for length) and is followed by small letters or digits;
@@ -12,7 +12,7 @@ which word follows. From these counts log-likelihood ratios give for each langua
 
 Pass 2 classifies each mark of each text with these tables. The language is the script or, for Latin script, the one
 with most function words. Scripts without end marks are cut at blanks and line breaks that touch no digit. Wrongly
-decoded texts are restored first and offsets are mapped back to the stored text.
+decoded texts are restored once, before both passes, and offsets are mapped back to the stored text.
 
 Edge cases: null and blank texts have no sentences; a text without any end mark is one sentence; offsets count Unicode
 characters of the stored text, white space around a sentence is not part of it; repeated rows come out each; texts
@@ -66,6 +66,8 @@ _BRACKET = re.compile('[“”„«»「」『』（）()\\[\\]［］【】〈
 _CLOSERS = "”“»」』）)］]】〉》›\"’'"
 _MARK = re.compile(r"[.!?。！？।॥؟۔｡．…]+")
 _OPENERS = "“„«「『（([［【〈《‹\"‘'¿¡-–—*"
+#: What may touch a word that has no period.
+_TOUCHING = _OPENERS + _CLOSERS + ",;:!?{}，、；：。！？｡．।॥؟۔،؛"
 _LATIN_END = re.compile(r"[a-zß-ɏ.'’-]+$")
 
 
@@ -142,13 +144,13 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 # A line of its own ends the text as well as its end does.
                 if kind != "E" and "\n\n" in text[k : k + 3]:
                     kind = "E"
-                pair = x if kind == "U" and (len(w) <= 5 or w == "#") else ""
-                got[lang, w, kind, pair] += 1
+                got[lang, w, kind, x if kind == "U" else ""] += 1
             plain.setdefault(lang, Counter()).update(text.lower().split())
         for lang, c in plain.items():
             for w, n in c.items():
+                w = w if w.isalpha() else w.strip(_TOUCHING)
                 # A word that ends in a period was counted above.
-                if w.isalpha() and len(w) <= LONGEST:
+                if w and w[-1] != "." and (w := _key(w, len(w))):
                     got[lang, w, "-", ""] += n
         rows = [(*k, n) for k, n in got.items()]
         cols = list(zip(*rows)) or [[]] * 5
@@ -224,7 +226,7 @@ def _passing(table: DataFrame, judge: Callable[..., list[str]]) -> list[tuple[st
 
 
 def learn(texts: DataFrame) -> Model:
-    """Statistics of the string column ``text`` over all rows.
+    """Statistics of the string column ``text`` over all rows, as they stand; see ``restored`` for wrongly decoded ones.
 
     All counts are tested where they lie; only the words that pass go to the driver. More than ``MOST_WORDS`` of
     them raise an error.
@@ -392,9 +394,26 @@ def _acronym(text: str, i: int, j: int) -> bool:
     return single or after
 
 
+def restored(texts: DataFrame) -> DataFrame:
+    """rec_id, text and places for each rec_id and text: the text as it was meant, and where its characters are stored, null where as they are.
+
+    Written to the shared folder, so both passes read it and each text is restored once.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            plain, places = zip(*(restore_aligned(t) for t in b.column(1).to_pylist())) if b.num_rows else ((), ())
+            yield pa.record_batch([b.column(0), pa.array(plain, pa.string()), pa.array(places, pa.list_(pa.int32()))], names=["rec_id", "text", "places"])
+
+    return materialise(texts.select("rec_id", "text").mapInArrow(run, "rec_id long, text string, places array<int>"))
+
+
 def sentences(text: str, model: Model) -> list[tuple[int, int]]:
     """Start and end of each sentence in the stored text."""
-    plain, places = restore_aligned(text)
+    return _placed(*restore_aligned(text), model)
+
+
+def _placed(plain: str, places: list[int] | None, model: Model) -> list[tuple[int, int]]:
     out, at = [], 0
     for end in [*boundaries(plain, model), len(plain)]:
         piece = plain[at:end]
@@ -409,6 +428,7 @@ def sentences(text: str, model: Model) -> list[tuple[int, int]]:
 def sentence_units(df: DataFrame, key: str, text_col: str, model: Model | None = None) -> DataFrame:
     """rec_id, sent_no (from 1), sent_start, sent_end for each sentence of each text that isn't blank."""
     texts = df.where(not_blank(F.col(text_col))).select(F.col(key).cast("long").alias("rec_id"), F.col(text_col).alias("text"))
+    texts = restored(texts)
     model = model or learn(texts)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
@@ -419,8 +439,8 @@ def sentence_units(df: DataFrame, key: str, text_col: str, model: Model | None =
             no: list[int] = []
             starts: list[int] = []
             ends: list[int] = []
-            for r, t in zip(b.column(0).to_pylist(), b.column(1)):
-                found = sentences(t.as_py(), known)
+            for r, t, p in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
+                found = _placed(t.as_py(), p.as_py(), known)
                 ids += [r] * len(found)
                 no += range(1, len(found) + 1)
                 starts += [a for a, _ in found]

@@ -122,6 +122,33 @@ def test_learnt_abbreviations(model):
     assert not {("en", w) for w in ("rose", "etc", "u.s")} & model.never
 
 
+def test_followers_of_long_words_count(spark):
+    # Every sure end stands after a word of more than five letters.
+    ends = ["Morlanos velpanos. Nikta bravolan velpanos. Nikta"] * 100
+    numbers = [f"lumor 3. Kab{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200)]
+    df = spark.createDataFrame([(t,) for t in ends + numbers], "text string")
+    assert ("la", "Nikta") in st.learn(df).starters
+
+
+def test_words_beside_other_marks_count(spark):
+    import pyarrow as pa
+
+    text = "Saw (lumor), lumor; lumor: “lumor” lumor? lumor 3, e.g, " + "x" * 50 + " lumor."
+    (got,) = st._count(iter([pa.record_batch([pa.array([text])], names=["text"])]))
+    rows = {(w, kind): n for _, w, kind, _, n in zip(*got.to_pydict().values())}
+    assert rows["lumor", "-"] == 6 and rows["lumor", "E"] == 1
+    assert rows["e.g", "-"] == rows["#", "-"] == rows["x" * st.LONGEST, "-"] == 1
+
+
+def test_statistics_of_restored_texts(spark):
+    # The abbreviation stands in wrongly decoded texts only.
+    plain = ["Ils ont noté dans la réf. trois que le café est cher."] * 40 + ["Ils ont vu la réf. Morlan dans le café. Puis le thé."] * 10
+    stored = [t.encode().decode("cp1252") for t in plain]
+    df = spark.createDataFrame(list(enumerate(stored)), "id long, t string")
+    got = {(r.rec_id, r.sent_no): stored[r.rec_id][r.sent_start : r.sent_end].encode("cp1252").decode() for r in st.sentence_units(df, "id", "t").collect()}
+    assert [got[45, k] for k in (1, 2)] == ["Ils ont vu la réf. Morlan dans le café.", "Puis le thé."] and len(got) == 60
+
+
 def test_rare_followers_count(spark, monkeypatch):
     # Dates: "Mai" twice after 200 numbers, never after 20,000 sure ends.
     numbers = ["lumor 3. Mai"] * 2 + [f"lumor 3. Kab{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(198)]
