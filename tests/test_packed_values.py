@@ -130,3 +130,23 @@ def test_learnt_frequencies_against_the_rule(spark):
         got = split(spark, values, **kw)
         right[mode] = sum(g == t for g, t in zip(got[n:], truth[300:])) / 120
     assert right["rule"] < 0.65 and right["learnt"] > 0.95
+
+
+def test_the_written_rule_has_no_idle_stage(spark, monkeypatch):
+    """What the prior decides alone is neither counted nor joined, and is what lattices give under any counts."""
+    import random
+
+    rng = random.Random(5)
+    fields = ["".join(rng.choice(["a", "b", " ", "", '"a, b"', '"b']) + rng.choice([", ", ",", "/", " / ", "; ", "|"]) for _ in range(rng.randint(1, 8))) for _ in range(400)]
+    want = []
+    for f in fields:
+        counts = {t: 1e9 for t in ("a", "b", "a, b", "a,b", "a/b")}
+        own = pv.lattices(f, pv.DECISIVE) or pv.atoms(f)[0]
+        want.append([t for x in own for t in ([x] if isinstance(x, str) else x.viterbi(counts, 5e9, x.n)) if t])
+    assert any(pv.lattices(f, pv.DECISIVE) for f in fields)
+    for name in ("materialise", "_with_counts"):
+        monkeypatch.setattr(pv, name, None)
+    assert split(spark, fields) == want
+    df = spark.createDataFrame([(1, "a, b; c")], "id long, v string")
+    plan = pv.split_values(df, {"v": ("id", "v")})._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("ArrowEvalPython [") == 1
